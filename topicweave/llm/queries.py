@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicweave.llm import site_lines, textform
+from topicweave.llm import leakage, mixture, reading, site_lines, textform
+from topicweave.operators.graph import reliable
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -19,17 +20,17 @@ _SITE = ("row_id", "uid", "abstract", "source_title")
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Problem 2: the lines of abstracts that belong to the journal."""
-    return site_lines.repeated_lines(_table(spark, d, "publications"), *_SITE).select("row_id", "line_no")
+    return site_lines.SiteLines(_table(spark, d, "publications"), *_SITE).found().select("row_id", "line_no")
 
 
 def p2_lines(spark: SparkSession, d: str) -> DataFrame:
     """Problem 2: the repeated lines of each journal."""
-    return site_lines.repeated_line_report(_table(spark, d, "publications"), *_SITE)
+    return site_lines.SiteLines(_table(spark, d, "publications"), *_SITE).report()
 
 
 def p2_clean(spark: SparkSession, d: str) -> DataFrame:
     """Problem 2: each abstract without them."""
-    return site_lines.without_repeated_lines(_table(spark, d, "publications"), *_SITE)
+    return site_lines.SiteLines(_table(spark, d, "publications"), *_SITE).without()
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -42,8 +43,55 @@ def p4_texts(spark: SparkSession, d: str) -> DataFrame:
     return textform.canonical_texts(_table(spark, d, "publications"), "row_id", ["title", "abstract"])
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Problem 6: documents and the test items they leak."""
+    return leakage.leaks(_table(spark, d, "documents"), "doc_id", "text", _table(spark, d, "eval_items"), "item_id", "passage")
+
+
+def p6_items(spark: SparkSession, d: str) -> DataFrame:
+    """Problem 6: every test item with the number of documents that leak it."""
+    return leakage.leak_report(p6_found(spark, d), "doc_id", "item_id", _table(spark, d, "eval_items"))
+
+
+def _sized(spark: SparkSession, d: str) -> DataFrame:
+    docs = _table(spark, d, "documents").select("doc_id", "source", mixture.token_counter()(F.col("text")).alias("n_tokens"))
+    return reliable(docs)
+
+
+def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
+    """Problem 7: the mixture, one row per copy taken."""
+    return mixture.mix_sources(_sized(spark, d), "doc_id", "source", _table(spark, d, "mix_targets"))
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Problem 7: the shares reached."""
+    sized, targets = _sized(spark, d), _table(spark, d, "mix_targets")
+    return mixture.mixture_report(mixture.mix_sources(sized, "doc_id", "source", targets), sized, "source", targets)
+
+
+def _levels(spark: SparkSession, d: str, docs: DataFrame, min_pieces: int) -> DataFrame:
+    model = reading.fit_graded(_table(spark, d, "reading_samples"), "text", "band")
+    return reading.reading_levels(docs, "doc_id", "text", model, min_pieces)
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Problem 8: the band of every English document of at least 100 pieces."""
+    return _levels(spark, d, _table(spark, d, "documents").filter("lang = 'en'"), 100).select("doc_id", "band")
+
+
+def p8_levels(spark: SparkSession, d: str) -> DataFrame:
+    """Problem 8: a level for every document that has words, with its score."""
+    return _levels(spark, d, _table(spark, d, "documents"), 1).select("doc_id", "band", F.round("score", 6).alias("score"))
+
+
+def p8_sources(spark: SparkSession, d: str) -> DataFrame:
+    """Problem 8: documents of each level by source."""
+    levels = _levels(spark, d, _table(spark, d, "documents"), 1).select("doc_id", "band")
+    return _table(spark, d, "documents").select("doc_id", "source").join(levels, "doc_id").groupBy("source", "band").agg(F.count(F.lit(1)).alias("documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_lines, p2_clean, p4_found, p4_texts)}
+    return {f.__name__: f for f in (p2_found, p2_lines, p2_clean, p4_found, p4_texts, p6_found, p6_items, p7_mixture, p7_shares, p8_found, p8_levels, p8_sources)}
 
 
 def oracle_sql() -> dict[str, str]:
