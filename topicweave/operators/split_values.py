@@ -13,9 +13,8 @@ that is never closed is an ordinary sign. Repeated rows give repeated results, t
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
 
 import ahocorasick
 import pandas as pd
@@ -147,15 +146,12 @@ def split_packed(text: str | None, spec: PackedField) -> list[str]:
 
 
 def _splitter_udf(spec: PackedField):
-    @lru_cache(maxsize=1)
-    def splitter() -> Splitter:
-        return Splitter(spec)
-
     @F.pandas_udf(T.ArrayType(T.StringType()))
-    def split(texts: pd.Series) -> pd.Series:
-        f = splitter()
-        known = {v: f(v) for v in texts.dropna().unique()}
-        return texts.map(known.get)
+    def split(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        f = Splitter(spec)
+        for texts in batches:
+            known = {v: f(v) for v in texts.dropna().unique()}
+            yield texts.map(known.get)
 
     return split
 
