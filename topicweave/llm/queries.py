@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicweave.llm import leakage, mixture, reading, site_lines, textform
+from topicweave.llm import leakage, mixture, names, reading, site_lines, textform
 from topicweave.operators.graph import reliable
 
 
@@ -43,6 +43,31 @@ def p4_texts(spark: SparkSession, d: str) -> DataFrame:
     return textform.canonical_texts(_table(spark, d, "publications"), "row_id", ["title", "abstract"])
 
 
+def _organisations(spark: SparkSession, d: str) -> DataFrame:
+    return names.organisations(_table(spark, d, "author_orcid"), "affiliation")
+
+
+def _persons(spark: SparkSession, d: str, organisations: DataFrame) -> DataFrame:
+    rows = _table(spark, d, "author_orcid").select("author", "orcid", F.col("affiliation").alias("name"))
+    rows = rows.join(organisations.withColumnRenamed("entity", "organisation"), "name", "left")
+    orcid = F.when(F.col("orcid").rlike(r"^\d{4}-\d{4}-\d{4}-\d{3}[\dX]$"), F.col("orcid"))
+    return names.persons(rows, "author", [(orcid, "orcid"), (F.col("organisation"), "organisation")], _table(spark, d, "given_short"), "given_name", "short_form")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Problem 5: pairs of spellings that mean the same person or organisation."""
+    organisations = reliable(_organisations(spark, d))
+    org = names.same_entity_pairs(organisations).select(F.lit("org").alias("kind"), "name_a", "name_b")
+    return names.same_entity_pairs(_persons(spark, d, organisations)).select(F.lit("author").alias("kind"), "name_a", "name_b").unionByName(org)
+
+
+def p5_entities(spark: SparkSession, d: str) -> DataFrame:
+    """Problem 5: every spelling with the person or organisation it means."""
+    organisations = reliable(_organisations(spark, d))
+    org = organisations.select(F.lit("org").alias("kind"), "name", "entity")
+    return _persons(spark, d, organisations).select(F.lit("author").alias("kind"), "name", "entity").unionByName(org)
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """Problem 6: documents and the test items they leak."""
     return leakage.leaks(_table(spark, d, "documents"), "doc_id", "text", _table(spark, d, "eval_items"), "item_id", "passage")
@@ -91,7 +116,7 @@ def p8_sources(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_lines, p2_clean, p4_found, p4_texts, p6_found, p6_items, p7_mixture, p7_shares, p8_found, p8_levels, p8_sources)}
+    return {f.__name__: f for f in (p2_found, p2_lines, p2_clean, p4_found, p4_texts, p5_found, p5_entities, p6_found, p6_items, p7_mixture, p7_shares, p8_found, p8_levels, p8_sources)}
 
 
 def oracle_sql() -> dict[str, str]:
