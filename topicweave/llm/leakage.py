@@ -36,7 +36,7 @@ _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words_of(text: str) -> list[str]:
-    text = folded_form(text)
+    text = text.lower() if text.isascii() else folded_form(text)
     if "<" in text:
         text = _TAG.sub(" ", _INLINE.sub("", text))
     if "&" in text:
@@ -54,11 +54,6 @@ class _Hashes(dict):
         return h
 
 
-def word_hashes(text: str, known: dict) -> np.ndarray:
-    w = words_of(text)
-    return np.fromiter((known[x] for x in w), np.uint64, len(w))
-
-
 def fingerprints(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(positions, hashes) of the winnowed k-grams of a sequence of word hashes; empty below ``SPAN`` words."""
     if len(words) < SPAN:
@@ -68,36 +63,46 @@ def fingerprints(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     for j in range(GRAM):
         h = h * _MULT + words[j : j + n]
         h ^= h >> np.uint64(29)
-    windows = np.lib.stride_tricks.sliding_window_view(h, WINDOW)
-    pos = np.unique(np.arange(len(windows)) + WINDOW - 1 - windows[:, ::-1].argmin(axis=1))
+    low, at = h[: n - WINDOW + 1].copy(), np.arange(n - WINDOW + 1)
+    for j in range(1, WINDOW):
+        later = h[j : n - WINDOW + 1 + j]
+        better = later <= low
+        low[better] = later[better]
+        at[better] = np.flatnonzero(better) + j
+    pos = at[np.concatenate([[True], at[1:] != at[:-1]])]
     return pos, h[pos].view(np.int64)
 
 
-def _context(words: np.ndarray, pos: np.ndarray, pad: int) -> np.ndarray:
+def _emit(key: str, text: str, pad: int, wanted: np.ndarray | None):
+    """Texts of a batch are laid end to end with ``SPAN - GRAM`` pads between: a k-gram that holds a pad belongs to no text."""
     side = SPAN - GRAM
-    padded = np.concatenate([np.full(side, pad, np.uint64), words, np.full(side, pad, np.uint64)])
-    return np.lib.stride_tricks.sliding_window_view(padded, GRAM + 2 * side)[pos].view(np.int64)
 
-
-def _emit(key: str, text: str, pad: int, wanted: np.ndarray | None):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = _Hashes()
         for pdf in batches:
-            keys, hashes, contexts = [], [], []
+            keys, sizes, words = [], [], []
             for k, t in zip(pdf[key], pdf[text], strict=True):
-                if not t:
-                    continue
-                words = word_hashes(t, known)
-                pos, h = fingerprints(words)
-                if wanted is not None and len(h):
-                    hit = wanted[np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)] == h
-                    pos, h = pos[hit], h[hit]
-                if len(h):
-                    keys += [k] * len(h)
-                    hashes.append(h)
-                    contexts += list(_context(words, pos, pad))
-            if keys:
-                yield pd.DataFrame({"key": keys, "print": np.concatenate(hashes), "context": contexts})
+                w = words_of(t) if t else ()
+                if len(w) >= SPAN:
+                    keys.append(k)
+                    sizes.append(len(w))
+                    words += [known[x] for x in w]
+            if not keys:
+                continue
+            size = np.array(sizes)
+            place = np.arange(size.sum()) + np.repeat(np.arange(1, len(size) + 1) * side, size)
+            flat = np.full(len(place) + (len(size) + 1) * side, pad, np.uint64)
+            flat[place] = np.array(words, np.uint64)
+            owner = np.full(len(flat), -1)
+            owner[place] = np.repeat(np.arange(len(size)), size)
+            pos, h = fingerprints(flat)
+            inside = (owner[pos] >= 0) & (owner[pos] == owner[pos + GRAM - 1])
+            if wanted is not None:
+                inside &= wanted[np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)] == h
+            pos, h = pos[inside], h[inside]
+            if len(pos):
+                context = flat[pos[:, None] + np.arange(-side, GRAM + side)].view(np.int64)
+                yield pd.DataFrame({"key": [keys[i] for i in owner[pos]], "print": h, "context": list(context)})
 
     return run
 

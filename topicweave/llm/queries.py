@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicweave.llm import leakage, mixture, names, reading, site_lines, textform
+from topicweave.llm import clusters, leakage, mixture, names, reading, site_lines, textform
 from topicweave.operators.graph import reliable
 
 
@@ -15,6 +15,25 @@ def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def _clusters(spark: SparkSession, d: str) -> DataFrame:
+    return clusters.RecordClusters(_table(spark, d, "publications"), "uid", ["title", "abstract"], "abstract").assign()
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Problem 1: records that treat the same narrow subject."""
+    return clusters.cluster_pairs(_clusters(spark, d), "uid")
+
+
+def p1_members(spark: SparkSession, d: str) -> DataFrame:
+    """Problem 1: every record's cluster."""
+    return _clusters(spark, d).select("uid", "cluster", F.round("flow", 6).alias("flow"))
+
+
+def p1_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Problem 1: each cluster's size and most typical records."""
+    return clusters.cluster_report(reliable(_clusters(spark, d)), "uid")
+
+
 _SITE = ("row_id", "uid", "abstract", "source_title")
 
 
@@ -116,7 +135,7 @@ def p8_sources(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_lines, p2_clean, p4_found, p4_texts, p5_found, p5_entities, p6_found, p6_items, p7_mixture, p7_shares, p8_found, p8_levels, p8_sources)}
+    return {f.__name__: f for f in (p1_found, p1_members, p1_clusters, p2_found, p2_lines, p2_clean, p4_found, p4_texts, p5_found, p5_entities, p6_found, p6_items, p7_mixture, p7_shares, p8_found, p8_levels, p8_sources)}
 
 
 def oracle_sql() -> dict[str, str]:
