@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from topicweave.operators import split_values as sv
+from topicweave.plans import indicator_queries
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -32,8 +33,8 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p3_found": p3_found}
+    return {"p3_found": p3_found} | indicator_queries.Q
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(indicator_queries.SQL)
