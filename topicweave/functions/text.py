@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 #: Python's white space (Java's \s lacks most of it).
 BLANK = r"[\s\x1c-\x1f\x85\p{Z}]+"
 # The patterns of LaTeX, HTML and copyright tails, in the order in which they are removed.
-LATEX = (r"\$\$.*?\$\$", r"\$[^$]*\$", r"\\[a-zA-Z]+\{[^}]*\}", r"\\[a-zA-Z]+")
-HTML = r"<[^>]{1,40}>"
-COPYRIGHT = (r"(?i)\(c\)\s*\d{4}.*?$", r"(?i)©\s*\d{4}.*?$", r"(?i)all rights reserved.*?$", r"(?i)published by elsevier.*?$")
+LATEX = (r"\$\$[^$]*\$\$|\\\[[^\]]*\\\]", r"\$[^$]*\$|\\\([^)]*\\\)", r"\\[a-zA-Z]+\s*(?:\[[^\]]*\])?\s*\{[^{}]*\}", r"\\[a-zA-Z]+\b")
+HTML = r"<[^<>]{1,40}>"
+COPYRIGHT = r"(?i)\(c\)\s*\d{4}.*?$|©\s*\d{4}.*?$|copyright\s*\(c\)\s*\d{4}.*?$|all rights reserved\.?\s*$"
+# Words of sentences that report a finding, and abbreviations that end no sentence.
+FINDING = "show shows showed shown find finds found demonstrate demonstrates demonstrated observe observes observed reveal reveals revealed indicate indicates indicated suggest suggests suggested conclude concludes concluded confirm confirms confirmed prove proves proved proven result results".split()
+ABBREVIATIONS = ["e.g.", "i.e.", "et al.", "Fig.", "Figs.", "Eq.", "Eqs.", "Ref.", "Refs.", "vs.", "approx.", "ca.", "No.", "Phys.", "Rev.", "Lett.", "Sec.", "Dr.", "Prof.", "cf.", "resp.", "Vol.", "pp."]
 # Other names of countries.
 COUNTRY_ALIASES = {
     "USA": "USA", "U S A": "USA", "U.S.A.": "USA", "UNITED STATES": "USA", "UNITED STATES OF AMERICA": "USA", "UK": "UK", "U.K.": "UK", "UNITED KINGDOM": "UK",
@@ -30,9 +33,7 @@ def strip_html(c: Column) -> Column:
 
 
 def strip_copyright(c: Column) -> Column:
-    for p in COPYRIGHT:
-        c = F.regexp_replace(c, p, " ")
-    return c
+    return F.regexp_replace(c, COPYRIGHT, " ")
 
 
 def collapse_blanks(c: Column) -> Column:
@@ -85,13 +86,17 @@ def present(c: Column) -> Column:
 
 
 def sentences(c: Column) -> Column:
-    """S15f: sentences of a text; common abbreviations and initials do not end one."""
-    return F.filter(F.transform(F.split(c, r"(?<!\b(?:e\.g|i\.e|cf|vs|al|Fig|Eq|Dr|No|approx)\.)(?<!\b[A-Z]\.)(?<=[.!?])\s+(?=[A-Z\p{Lu}(])"), F.trim), lambda x: x != "")
+    """S15f: sentences of a text; a listed abbreviation does not end one."""
+    shield, c = "\u0001", collapse_blanks(c)
+    for a in ABBREVIATIONS:
+        c = F.replace(c, F.lit(a), F.lit(a.replace(".", shield)))
+    parts = F.split(F.regexp_replace(c, r"([.!?])\s+(?=[A-Z0-9(\[])", "$1\u0002"), "\u0002")
+    return F.filter(F.transform(parts, lambda x: F.trim(F.replace(x, F.lit(shield), F.lit(".")))), lambda x: x != "")
 
 
 def is_finding(c: Column) -> Column:
     """S16f: a sentence that reports a finding."""
-    return c.rlike(r"(?i)\b(we (?:find|found|show|showed|demonstrate|conclude)|results (?:show|indicate|suggest)|our results|suggests? that|reveal)\b")
+    return c.rlike(r"(?i)\b(" + "|".join(FINDING) + r")\b")
 
 
 def content_runs(c: Column, stop: list[str]) -> Column:
