@@ -42,14 +42,17 @@ SAME_LOOK = {"<wide>", "<narrow>", "<compat>", "<noBreak>", "<font>", "<initial>
 PLAIN = r"^[\x20-\x7e\n]*$"
 
 _ALIKE = {ord(a): b for left, right in LOOK_ALIKES for a, b in zip(left, right, strict=True)}
-_BLANKS = re.compile(r"[ \t]+")
+_BLANKS = re.compile(r"  +")
+_EDGES = re.compile(r" ?\n ?")
+#: Characters that may have to be mapped; the others of a text are never looked at one by one.
+_SPECIAL = re.compile(r"[^\n\x20-\x7e]")
 
 
 class _Mapping(dict):
-    """For ``str.translate``: each character is worked out when it is first seen."""
+    """Each character is worked out when it is first seen."""
 
-    def __missing__(self, code: int) -> str:
-        self[code] = out = _mapped(code)
+    def __missing__(self, c: str) -> str:
+        self[c] = out = _mapped(ord(c))
         return out
 
 
@@ -76,13 +79,22 @@ def _mapped(code: int) -> str:
 _MAP = _Mapping()
 
 
+def _map_one(m: re.Match) -> str:
+    return _MAP[m[0]]
+
+
 def visible_form(text: str | None) -> str | None:
     """What a reader sees of ``text``; runs of blanks count as one and outer blanks do not count."""
     if text is None:
         return None
-    if not text.isascii() or "\r" in text or "\t" in text:
-        text = unicodedata.normalize("NFC", text.replace("\r\n", "\n").replace("\r", "\n").translate(_MAP))
-    return _BLANKS.sub(" ", text).replace(" \n", "\n").replace("\n ", "\n").strip()
+    if "\r" in text:
+        text = text.replace("\r\n", "\n").replace("\r", "\n")
+    text = _SPECIAL.sub(_map_one, text)
+    if not text.isascii():
+        text = unicodedata.normalize("NFC", text)
+    if "  " in text:
+        text = _BLANKS.sub(" ", text)
+    return (_EDGES.sub("\n", text) if "\n" in text else text).strip()
 
 
 def folded_form(text: str | None) -> str | None:
