@@ -52,12 +52,11 @@ def _distances(ra, rb) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def density_clusters(vectors: DataFrame, key: str, vec: str, k: int = 8, radius: float | None = None, least: int = 25) -> DataFrame:
     """M3: (key, cluster) with -1 for noise; ``radius`` defaults to the median core distance. Equal vectors are one node."""
-    kind = dict(vectors.dtypes)[key]
-    nodes = reliable(vectors.select(key, F.col(vec).cast("array<double>").alias("v")).withColumn("id", F.xxhash64("v")))
+    nodes = reliable(vectors.select(F.col(key).alias("key"), F.col(vec).cast("array<double>").alias("v")).withColumn("id", F.xxhash64("v")))
     v = nodes.groupBy("id").agg(F.first("v").alias("v"), F.count(F.lit(1)).alias("n"))
     total = v.count()
     if not total:
-        return nodes.select(key, F.lit(-1).cast("bigint").alias("cluster"))
+        return nodes.select(F.col("key").alias(key), F.lit(-1).cast("bigint").alias("cluster"))
     pairs = reliable(block_pairs(v, total))
 
     def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -89,4 +88,4 @@ def density_clusters(vectors: DataFrame, key: str, vec: str, k: int = 8, radius:
     found = comp.unionByName(rim)
     size = found.join(v.select("id", "n"), "id").groupBy("cluster").agg(F.sum("n").alias("size")).filter(F.col("size") >= least).select("cluster")
     found = found.join(size, "cluster", "left_semi")
-    return nodes.select(F.col(key).cast(kind), "id").join(found, "id", "left").select(key, F.coalesce("cluster", F.lit(-1)).alias("cluster"))
+    return nodes.select("key", "id").join(found, "id", "left").select(F.col("key").alias(key), F.coalesce("cluster", F.lit(-1)).alias("cluster"))
