@@ -119,23 +119,23 @@ def leaks(corpus: DataFrame, doc: str, text: str, tests: DataFrame, item: str, p
     send on nothing else; beyond it all fingerprints are joined by shuffle. Copies of a passage or of a document are compared
     by distinct context, so a fingerprint shared by many copies meets itself once.
     """
-    t = _prints(tests, item, passage, 1).withColumnRenamed("key", item)
+    t = _prints(tests, item, passage, 1)
     t_distinct = t.select("print").distinct()
     wanted = None
     if t_distinct.count() <= MAX_SENT:
         wanted = np.sort(np.array([r[0] for r in t_distinct.collect()], np.int64))
         if not len(wanted):
             wanted = np.array([0], np.int64)
-    c = _prints(corpus, doc, text, 2, wanted).withColumnRenamed("key", doc)
-    t_places = t.groupBy("print", "context").agg(F.collect_set(item).alias("items"))
+    c = _prints(corpus, doc, text, 2, wanted)
+    t_places = t.groupBy("print", "context").agg(F.collect_set("key").alias("items"))
     c_kinds = c.select("print", F.col("context").alias("c")).distinct()
     side = SPAN - GRAM
     same = F.zip_with("c", "context", lambda x, y: x == y)
     left = F.aggregate(F.reverse(F.slice(same, 1, side)), F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")), _step, lambda s: s["n"])
     right = F.aggregate(F.slice(same, side + GRAM + 1, side), F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")), _step, lambda s: s["n"])
     gram = F.forall(F.slice(same, side + 1, GRAM), lambda x: x)
-    hits = c_kinds.join(t_places, "print").filter(gram & (left + right + GRAM >= SPAN)).select("print", "c", F.explode("items").alias(item))
-    return c.join(hits.withColumnRenamed("c", "context"), ["print", "context"]).select(doc, item).distinct()
+    hits = c_kinds.join(t_places, "print").filter(gram & (left + right + GRAM >= SPAN)).select("print", "c", F.explode("items").alias("item"))
+    return c.join(hits.withColumnRenamed("c", "context"), ["print", "context"]).select(F.col("key").alias(doc), F.col("item").alias(item)).distinct()
 
 
 def _step(s, x):

@@ -60,6 +60,7 @@ def source_plan(sized: DataFrame, targets: DataFrame, source: str, total_tokens:
     ``total_tokens`` the total is the largest that all of them reach; with it, a source that cannot reach its share gives
     all its documents ``max_repeats`` times.
     """
+    sized = sized.select(source, "n_tokens")
     have = sized.groupBy(source).agg(F.count(F.lit(1)).alias("documents"), F.sum("n_tokens").alias("tokens"))
     usable = "target_share > 0 AND max_repeats >= 1 AND tokens > 0"
     p = targets.select(source, "target_share", "max_repeats").join(have, source, "left").withColumn("usable", F.coalesce(F.expr(usable), F.lit(False)))
@@ -79,7 +80,7 @@ def mix_sources(docs: DataFrame, doc: str, source: str, targets: DataFrame, tota
     source, only its distinct sizes, or a slice of about ``SLICE`` rows.
     """
     docs = docs.filter((F.col("n_tokens") > 0) & F.col(source).isNotNull())
-    plan = source_plan(docs, targets, source, total_tokens).filter("copies > 0").select(source, "copies", F.col("max_repeats").alias("_most"))
+    plan = source_plan(docs, targets, source, total_tokens).filter("copies > 0").select(source, F.col("copies").alias("_copies"), F.col("max_repeats").alias("_most"))
     docs = docs.join(plan, source)
     count = docs.groupBy(source, "n_tokens").agg(F.count(F.lit(1)).alias("_n"))
     parts = count.select(source, "n_tokens", F.greatest(F.lit(1), F.ceil(F.col("_n") / SLICE)).cast("int").alias("_parts"))
@@ -91,10 +92,10 @@ def mix_sources(docs: DataFrame, doc: str, source: str, targets: DataFrame, tota
     ranked = docs.withColumn("_rank", F.row_number().over(Window.partitionBy(source, "n_tokens", "_slice").orderBy(F.xxhash64(doc), doc)))
     ranked = ranked.join(slices, [source, "n_tokens", "_slice"])
     offset = F.pmod(F.xxhash64(source, F.lit(seed)), F.lit(1_000_003)) / 1_000_003.0
-    upto = lambda n: F.floor(n * F.col("copies") + offset + 1e-9)
+    upto = lambda n: F.floor(n * F.col("_copies") + offset + 1e-9)
     taken = F.least(upto(F.col("_before") + F.col("_rank")) - upto(F.col("_before") + F.col("_rank") - 1), F.col("_most")).cast("int")
     out = ranked.withColumn("_taken", taken).filter("_taken > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), "_taken")))
-    return out.drop("copies", "_most", "_slice", "_rank", "_before", "_taken")
+    return out.drop("_copies", "_most", "_slice", "_rank", "_before", "_taken")
 
 
 def mixture_report(mixture: DataFrame, docs: DataFrame, source: str, targets: DataFrame, total_tokens: float | None = None) -> DataFrame:

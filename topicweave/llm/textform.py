@@ -149,14 +149,14 @@ def look_alike_pairs(rows: DataFrame, key: str, fields: list[str]) -> DataFrame:
     million times, identically, costs one row.
     """
     digest = lambda c: F.unhex(F.md5(c))
-    long = rows.select(F.col(key), F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("text")) for f in fields])).alias("x"))
-    long = long.select(key, "x.field_name", F.col("x.text").alias("text")).filter(F.length("text") > 0)
-    look = long.select(key, "field_name", digest(F.col("text")).alias("own"), visible_column(F.col("text")).alias("visible"))
-    look = look.filter(F.length("visible") > 0).select(key, "field_name", "own", digest(F.col("visible")).alias("look"))
+    long = rows.select(F.col(key).alias("row"), F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("text")) for f in fields])).alias("x"))
+    long = long.select("row", "x.field_name", F.col("x.text").alias("text")).filter(F.length("text") > 0)
+    look = long.select("row", "field_name", digest(F.col("text")).alias("own"), visible_column(F.col("text")).alias("visible"))
+    look = look.filter(F.length("visible") > 0).select("row", "field_name", "own", digest(F.col("visible")).alias("look"))
     strings = look.groupBy("field_name", "look", "own").agg(F.count(F.lit(1)).alias("n"))
     several = strings.groupBy("field_name", "look").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").drop("kinds")
     cases = look.join(several, ["field_name", "look"], "left_semi")
-    a = cases.select("field_name", "look", F.col("own").alias("own_a"), F.col(key).alias(f"{key}_a"))
-    b = cases.select("field_name", "look", F.col("own").alias("own_b"), F.col(key).alias(f"{key}_b"))
-    pairs = a.join(b, ["field_name", "look"]).filter((F.col("own_a") != F.col("own_b")) & (F.col(f"{key}_a") < F.col(f"{key}_b")))
-    return pairs.select("field_name", f"{key}_a", f"{key}_b")
+    a = cases.select("field_name", "look", F.col("own").alias("own_a"), F.col("row").alias("row_a"))
+    b = cases.select("field_name", "look", F.col("own").alias("own_b"), F.col("row").alias("row_b"))
+    pairs = a.join(b, ["field_name", "look"]).filter("own_a <> own_b AND row_a < row_b")
+    return pairs.select("field_name", F.col("row_a").alias(f"{key}_a"), F.col("row_b").alias(f"{key}_b"))
