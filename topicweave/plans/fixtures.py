@@ -54,20 +54,22 @@ def terms_sql(kind: str) -> str:
     return f"{kind} AS (SELECT uid, phase, topic, year, {t} AS term FROM (SELECT uid, phase, topic, year, unnest(string_split_regex({column}, '{sep}')) AS x FROM pub) WHERE trim(x) <> '')"
 
 
-def vectors(spark: SparkSession, d: str) -> DataFrame:
+def vectors(spark: SparkSession, d: str, p: DataFrame | None = None) -> DataFrame:
     """(uid, phase, topic, year, embedding) of every publication."""
     e = table(spark, d, "embeddings")
     n = e.count()
-    return pub(spark, d).withColumn("vec_id", F.pmod("row_id", F.lit(n))).join(e.select("vec_id", "embedding"), "vec_id").select("uid", "phase", "topic", "year", "embedding", F.length("abstract").alias("size"))
+    p = pub(spark, d) if p is None else p
+    return p.withColumn("vec_id", F.pmod("row_id", F.lit(n))).join(e.select("vec_id", "embedding"), "vec_id").select("uid", "phase", "topic", "year", "embedding", F.col("size") if "size" in p.columns else F.length("abstract").alias("size"))
 
 
 VEC = "vec AS (SELECT uid, phase, topic, year, embedding, length(abstract) AS size FROM pub JOIN embeddings ON vec_id = row_id % (SELECT count(*) FROM embeddings))"
 
 
-def authors(spark: SparkSession, d: str) -> DataFrame:
+def authors(spark: SparkSession, d: str, p: DataFrame | None = None) -> DataFrame:
     """(uid, phase, topic, year, seq, author, orcid): author mentions of publications, one per place."""
     a = table(spark, d, "author_orcid").groupBy("uid", "seq").agg(F.min(F.struct("mention_id", "author", "orcid")).alias("m"))
-    return a.select("uid", "seq", "m.author", "m.orcid").join(pub(spark, d).select("uid", "phase", "topic", "year"), "uid")
+    p = pub(spark, d) if p is None else p
+    return a.select("uid", "seq", "m.author", "m.orcid").join(p.select("uid", "phase", "topic", "year"), "uid")
 
 
 AUTHORS = """au AS (SELECT a.uid, seq, author, orcid, phase, topic, year FROM (SELECT uid, seq, author, orcid,

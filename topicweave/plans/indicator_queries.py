@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from topicweave.operators import indicators as I
 from topicweave.operators import kernels as K
+from topicweave.operators.graph import reliable
 from topicweave.plans import fixtures as X
 
 Q: dict = {}
@@ -93,10 +94,13 @@ CTE["ip3"] = entropy_sql("ip3", "kwp", 5, 0.5)
 
 
 class Parts:
-    """The indicators of a folder's tables by name."""
+    """The indicators of a folder's tables by name; ``kept`` writes the newest records once for all of them."""
 
-    def __init__(self, spark: SparkSession, d: str) -> None:
+    def __init__(self, spark: SparkSession, d: str, kept: bool = False) -> None:
         self.spark, self.d, self.pub = spark, d, X.pub(spark, d)
+        if kept:
+            used = ["uid", "row_id", "phase", "topic", "year", "doc_type", "source_title", "times_cited", *[c for c, _, _ in X.LISTS.values()], F.length("abstract").alias("size")]
+            self.pub = reliable(self.pub.select(*used))
 
     def terms(self, kind: str) -> DataFrame:
         return X.terms(self.pub, kind)
@@ -107,14 +111,14 @@ class Parts:
         return {
             "eo1": lambda: I.keyword_volatility(p, t("kw")),
             "eo2": lambda: I.normalised_entropy(t("cat"), p, "eo2", 2, 0.0),
-            "eo3": lambda: I.semantic_incoherence(X.vectors(self.spark, self.d)),
+            "eo3": lambda: I.semantic_incoherence(X.vectors(self.spark, self.d, self.pub)),
             "pe1": lambda: I.relative_proportion(tem()),
-            "pe2": lambda: I.noise_ratio(X.vectors(self.spark, self.d)),
+            "pe2": lambda: I.noise_ratio(X.vectors(self.spark, self.d, self.pub)),
             "pe3": lambda: I.journal_specificity(p),
             "ds1": lambda: I.temporal_novelty(p),
             "ds2": lambda: I.terminological_instability(p, t("kw")),
             "ds3": lambda: I.review_absence(p),
-            "di1": lambda: I.author_concentration(X.authors(self.spark, self.d)),
+            "di1": lambda: I.author_concentration(X.authors(self.spark, self.d, self.pub)),
             "di2": lambda: I.institutional_concentration(p, t("inst")),
             "di3": lambda: I.geographic_concentration(p, t("ctry")),
             "di4": lambda: I.citation_concentration(p),
@@ -136,7 +140,7 @@ for _n, _label in LABELS.items():
 
 def indicators16(spark: SparkSession, d: str) -> DataFrame:
     """The indicator matrix of every topic and phase."""
-    p = Parts(spark, d)
+    p = Parts(spark, d, kept=True)
     return I.all_indicators([p.make(n) for n in I.INDICATORS])
 
 
@@ -146,8 +150,6 @@ def scored(spark: SparkSession, d: str, keep: list[str] = I.INDICATORS) -> DataF
 
 def classified(spark: SparkSession, d: str) -> DataFrame:
     """The topics with indicators, memberships, margin and dominant class, kept in the checkpoint folder: a row per topic."""
-    from topicweave.operators.graph import reliable
-
     return reliable(I.memberships(scored(spark, d)))
 
 
