@@ -154,7 +154,7 @@ def _mom(spark, d):
 
 
 @query("cand_ip2_a4_kendall", W(_PCT, "x AS (SELECT phase, topic, uid, year, round(pct, 9) AS pct FROM pc WHERE topic >= 0)", "k AS (SELECT a.phase, a.topic, sum(sign(b.pct - a.pct) * sign(b.year - a.year)) AS s, count(*) AS n, count(*) FILTER (a.year = b.year) AS ty, count(*) FILTER (a.pct = b.pct) AS tp FROM x a JOIN x b ON a.phase = b.phase AND a.topic = b.topic AND a.uid < b.uid GROUP BY 1, 2)")
-       + "SELECT phase, topic, round(CASE WHEN sqrt(CAST(n - ty AS DOUBLE) * (n - tp)) > 0 THEN s / sqrt(CAST(n - ty AS DOUBLE) * (n - tp)) END, 6) AS ip2_a4 FROM k")
+       + "SELECT phase, topic, round(CASE WHEN n >= 6 AND sqrt(CAST(n - ty AS DOUBLE) * (n - tp)) > 0 THEN s / sqrt(CAST(n - ty AS DOUBLE) * (n - tp)) END, 6) AS ip2_a4 FROM (SELECT DISTINCT phase, topic FROM x) LEFT JOIN k USING (phase, topic)")
 def _kendall(spark, d):
     return rounded(C.kendall(X.pub(spark, d)))
 
