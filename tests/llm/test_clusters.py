@@ -65,3 +65,21 @@ def test_hot_names_link_their_records(spark, monkeypatch):
 @pytest.mark.parametrize("rows", [[], [("u1", None, None)], [("u1", "a", "one text alone"), ("u2", "b", "another text")]])
 def test_nothing_to_find(spark, rows):
     assert C.cluster_pairs(C.RecordClusters(spark.createDataFrame(rows, SCHEMA), "uid", ["title", "abstract"], "abstract").assign(), "uid").count() == 0
+
+
+def linked(spark, sets):
+    """Pairs of uid whose nodes are linked, of {uid: numbers of names}."""
+    names = C.RecordClusters(spark.createDataFrame([], SCHEMA), "uid", ["title", "abstract"], "abstract")
+    members = spark.createDataFrame([(u, sorted(s)) for u, s in sets.items()], "uid string, names array<long>").selectExpr("uid", "names", "xxhash64(names) AS node").cache()
+    of = {}
+    for r in members.collect():
+        of.setdefault(r.node, []).append(r.uid)
+    return {tuple(sorted((x, y))) for r in names.edges(members).collect() for x in of[r.a] for y in of[r.b]}
+
+
+def test_copies_do_not_unlink_other_records(spark, monkeypatch):
+    monkeypatch.setattr(C, "COMMON", 1.0)
+    sets = {f"c{n:04}": range(6) for n in range(2000)}
+    sets |= {f"r{n}": [*{*range(6)} - {n}, 100 + n] for n in range(5)}  # five of the six names and an own one
+    got = linked(spark, sets)
+    assert all(("c0000", f"r{n}") in got for n in range(5)) and all((f"r{m}", f"r{n}") in got for n in range(5) for m in range(n))

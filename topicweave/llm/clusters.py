@@ -118,13 +118,15 @@ class RecordClusters:
 
     def edges(self, members: DataFrame) -> DataFrame:
         """(a, b, similarity) of similar nodes, a < b."""
-        df = members.select(F.explode("names").alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("df"))
+        nodes = members.groupBy("node").agg(F.first("names").alias("names"), F.count(F.lit(1)).alias("copies"))
+        named = nodes.select("node", "copies", F.explode("names").alias("name"))
+        # nodes decide what is joined, records what is common
+        df = named.groupBy("name").agg(F.count(F.lit(1)).alias("df"), F.sum("copies").alias("records"))
         total = members.count()
         common = max(COMMON * total, 50.0)
-        weight = F.when(F.col("df") <= common, 1.0).otherwise(F.log(total / F.col("df")) / np.log(max(total / common, 1.0001)))
-        nodes = members.select("node", "names").dropDuplicates(["node"])
-        named = nodes.select("node", F.explode("names").alias("name")).join(df, "name").withColumn("w", F.greatest(F.lit(0.0), weight))
-        # rarest first; a name of one record links nothing but counts in the norm
+        weight = F.when(F.col("records") <= common, 1.0).otherwise(F.log(total / F.col("records")) / np.log(max(total / common, 1.0001)))
+        named = named.select("node", "name").join(df, "name").withColumn("w", F.greatest(F.lit(0.0), weight))
+        # rarest first; a name of one node links nothing but counts in the norm
         entry = F.struct("df", "name", "w")
         sets = named.groupBy("node").agg(F.sort_array(F.collect_list(entry)).alias("all"))
         sets = sets.withColumn("norm", F.aggregate("all", F.lit(0.0), lambda s, x: s + x["w"] * x["w"]))
