@@ -83,3 +83,18 @@ def test_copies_do_not_unlink_other_records(spark, monkeypatch):
     sets |= {f"r{n}": [*{*range(6)} - {n}, 100 + n] for n in range(5)}  # five of the six names and an own one
     got = linked(spark, sets)
     assert all(("c0000", f"r{n}") in got for n in range(5)) and all((f"r{m}", f"r{n}") in got for n in range(5) for m in range(n))
+
+
+def test_hot_names_link_all_pairs(spark, monkeypatch):
+    rows, truth = corpus()
+    monkeypatch.setattr(C, "HOT", 4)
+    monkeypatch.setattr(C, "HOT_HEADS", 3)
+    got = {tuple(r) for r in C.cluster_pairs(C.RecordClusters(spark.createDataFrame(rows, SCHEMA), "uid", ["title", "abstract"], "abstract").assign(), "uid").collect()}
+    want = {(a, b) for a in truth for b in truth if a < b and truth[a] == truth[b]}
+    assert len(got & want) / len(want) > 0.95 and len(got & want) / len(got) > 0.95
+
+
+def test_hot_names_have_every_link(spark, monkeypatch):
+    monkeypatch.setattr(C, "COMMON", 1.0)
+    sets = {f"r{n:04}": [*range(6), 100 + n] for n in range(C.HOT + 200)}
+    assert len(linked(spark, sets)) == len(sets) * (len(sets) - 1) // 2

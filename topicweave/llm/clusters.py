@@ -6,8 +6,9 @@ different modifiers (a device noun before invented names). Heads are learned fro
 *Graph*. Records are joined if they share at least ``SHARED`` names and the cosine of their name sets is at least ``SIMILAR``; a name
 weighs 1, a name in more than ``COMMON`` of all records less, down to 0 for one in all. A pair that shares ``SHARED`` names
 shares one outside each record's ``SHARED - 1`` most frequent names, so only the other ones are joined (prefix filter), and a pair
-is kept at the rarest name that it meets at. Records with the same names are one node. A name of more than ``HOT`` nodes meets
-only about ``HOT_HEADS`` of its own nodes, spread by hash, instead of all: its edges stay proportional to its records.
+is kept at the rarest name that it meets at. Records with the same names are one node. All nodes of a name are compared; those of
+a name of more than ``HOT`` nodes in blocks of about ``HOT_HEADS``, spread by hash, each with all nodes of the name, so that no task
+gets all its pairs. The pairs of a subject grow with the square of its different nodes.
 
 *Clusters*. Flow on the graph: the column-stochastic matrix is squared, inflated and freed of small entries until it stays; the row
 to which most of a column's flow goes is its attractor, and columns with one attractor are a cluster. Squaring never crosses a
@@ -134,10 +135,10 @@ class RecordClusters:
         sets = sets.select("node", "norm", F.transform("set", lambda x: x["name"]).alias("ids"), F.transform("set", lambda x: x["w"]).alias("ws"), F.transform("set", lambda x: x["df"]).alias("dfs"))
         sets = sets.withColumn("indexed", F.arrays_zip("ids", "dfs")).withColumn("indexed", F.slice("indexed", F.lit(1), F.size("indexed") - (SHARED - 1)))
         post = sets.select("node", "norm", "ids", "ws", F.explode("indexed").alias("at")).select("node", "norm", "ids", "ws", F.col("at.ids").alias("name"), F.col("at.dfs").alias("df"))
-        spread = F.pmod(F.xxhash64("node", "name"), F.greatest(F.lit(1), F.floor(F.col("df") / HOT_HEADS)))
-        a = post.select("name", *[F.col(c).alias(f"{c}_a") for c in ("node", "norm", "ids", "ws")])
-        b = post.filter((F.col("df") <= HOT) | (spread == 0)).select("name", "df", *[F.col(c).alias(f"{c}_b") for c in ("node", "norm", "ids")])
-        pairs = a.join(b, "name").filter("node_a < node_b OR df > 1000 AND node_a <> node_b".replace("1000", str(HOT)))
+        blocks = F.when(F.col("df") > HOT, F.ceil(F.col("df") / HOT_HEADS)).otherwise(F.lit(1)).cast("int")
+        a = post.select("name", F.pmod(F.xxhash64("node", "name"), blocks).cast("int").alias("block"), *[F.col(c).alias(f"{c}_a") for c in ("node", "norm", "ids", "ws")])
+        b = post.select("name", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), *[F.col(c).alias(f"{c}_b") for c in ("node", "norm", "ids")])
+        pairs = a.join(b, ["name", "block"]).filter("node_a < node_b")
         both = F.array_intersect("ids_a", "ids_b")
         pairs = pairs.withColumn("both", both).filter((F.size("both") >= SHARED) & (F.col("both")[0] == F.col("name")))
         dot = F.aggregate(F.zip_with("ids_a", "ws_a", lambda i, w: F.when(F.array_contains("both", i), w * w).otherwise(F.lit(0.0))), F.lit(0.0), lambda s, x: s + x)
