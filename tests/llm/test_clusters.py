@@ -98,3 +98,13 @@ def test_hot_names_have_every_link(spark, monkeypatch):
     monkeypatch.setattr(C, "COMMON", 1.0)
     sets = {f"r{n:04}": [*range(6), 100 + n] for n in range(C.HOT + 200)}
     assert len(linked(spark, sets)) == len(sets) * (len(sets) - 1) // 2
+
+
+def test_similarity_does_not_depend_on_the_size_of_the_subject(spark):
+    phrase = 99
+    sets = {f"s{n}-{k}": [*range(6), 100 + n] for n in range(10) for k in range(500)}  # a third of all records: ten texts that share six of seven names
+    sets |= {f"o{n:05}": [phrase, *range(1000 + 7 * n, 1007 + 7 * n)] for n in range(5000)}
+    sets |= {f"p{n:05}": range(50000 + 3 * (n // 2), 50003 + 3 * (n // 2)) for n in range(5000)}
+    sets["q1"], sets["q2"] = [phrase, 7, 8, *range(200, 205)], [phrase, 7, 8, *range(210, 215)]  # two names and a phrase that names nothing
+    got = linked(spark, sets)
+    assert all((f"s{m}-0", f"s{n}-0") in got for n in range(10) for m in range(n)) and ("q1", "q2") not in got

@@ -4,7 +4,8 @@
 different modifiers (a device noun before invented names). Heads are learned from all records by counting, no word list is needed.
 
 *Graph*. Records are joined if they share at least ``SHARED`` names and the cosine of their name sets is at least ``SIMILAR``; a name
-weighs 1, a name in more than ``COMMON`` of all records less, down to 0 for one in all. A pair that shares ``SHARED`` names
+weighs 1, however many records treat its subject. A phrase that names nothing weighs less, down to 0 for one in all records: it is in
+more than ``COMMON`` of them, and two nodes that hold it share in the mean fewer than ``ALSO_SHARED`` other names. A pair that shares ``SHARED`` names
 shares one outside each record's ``SHARED - 1`` most frequent names, so only the other ones are joined (prefix filter), and a pair
 is kept at the rarest name that it meets at. Records with the same names are one node. All nodes of a name are compared; those of
 a name of more than ``HOT`` nodes in blocks of about ``HOT_HEADS``, spread by hash, each with all nodes of the name, so that no task
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from topicweave.llm.textform import folded_form
 from topicweave.operators.graph import connected_components, reliable
 
-SHARED, SIMILAR, COMMON = 3, 0.3, 0.01
+SHARED, SIMILAR, COMMON, ALSO_SHARED = 3, 0.3, 0.01, 1.0
 #: A head follows at least so many different modifiers, and so many of its uses are new modifiers.
 MIN_MODIFIERS, PRODUCTIVE = 30, 0.15
 HOT, HOT_HEADS = 1000, 64
@@ -125,7 +126,13 @@ class RecordClusters:
         df = named.groupBy("name").agg(F.count(F.lit(1)).alias("df"), F.sum("copies").alias("records"))
         total = members.count()
         common = max(COMMON * total, 50.0)
-        weight = F.when(F.col("records") <= common, 1.0).otherwise(F.log(total / F.col("records")) / np.log(max(total / common, 1.0001)))
+        # a common name counts less only if the nodes that hold it have little else in common
+        of_common = named.join(df.filter(F.col("records") > common).select("name"), "name").select("node", F.col("name").alias("common"))
+        met = of_common.join(named, "node").filter(F.col("name") != F.col("common")).groupBy("common", "name").agg(F.count(F.lit(1)).cast("double").alias("c"))
+        shared = met.groupBy(F.col("common").alias("name")).agg(F.sum(F.col("c") * (F.col("c") - 1)).alias("shared"))
+        df = df.join(shared, "name", "left")
+        phrase = (F.col("records") > common) & (F.col("df") > 1) & (F.coalesce("shared", F.lit(0.0)) < ALSO_SHARED * F.col("df") * (F.col("df") - 1.0))
+        weight = F.when(phrase, F.log(total / F.col("records")) / np.log(max(total / common, 1.0001))).otherwise(1.0)
         named = named.select("node", "name").join(df, "name").withColumn("w", F.greatest(F.lit(0.0), weight))
         # rarest first; a name of one node links nothing but counts in the norm
         entry = F.struct("df", "name", "w")
