@@ -70,9 +70,22 @@ def tfidf_terms(tokens: DataFrame, keys: list[str], doc: str, term: str, n: int
     length-normalised. ``tokens`` has a row per occurrence; the vocabulary is the ``max_terms`` most frequent in range."""
     total = tokens.select(doc).distinct().count()
     df = tokens.groupBy(term).agg(F.countDistinct(doc).alias("df"), F.count(F.lit(1)).alias("tf"))
+    return tfidf_of_counts(tokens.groupBy(*keys, term).agg(F.count(F.lit(1)).alias("n")), df, total, keys, term, n, min_df, max_df, max_terms)
+
+
+def term_counts(docs: DataFrame, keys: list[str], words: str, term: str = "term") -> DataFrame:
+    """(keys, term, n, df): occurrences and records of each term of the arrays ``words``, a row of ``docs`` per record; combined before
+    the shuffle, so no row per occurrence is moved."""
+    one = lambda c, n, df: docs.select(*keys, F.explode(c).alias(term), F.lit(n).alias("n"), F.lit(df).alias("df"))
+    both = one(F.col(words), 1, 0).unionByName(one(F.array_distinct(words), 0, 1))
+    return both.groupBy(*keys, term).agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
+
+
+def tfidf_of_counts(counts: DataFrame, df: DataFrame, total: int, keys: list[str], term: str, n: int = 15, min_df: int = 3, max_df: float = 0.85, max_terms: int = 10_000) -> DataFrame:
+    """B14 from the occurrences (keys, term, n) and the records and occurrences (term, df, tf) of each term."""
     vocab = df.filter((F.col("df") >= min_df) & (F.col("df") <= max_df * total)).orderBy(F.desc("tf"), term).limit(max_terms)
     vocab = vocab.select(term, (F.log((1.0 + total) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
-    w = tokens.groupBy(*keys, term).agg(F.count(F.lit(1)).alias("n")).join(vocab, term).withColumn("w", (1.0 + F.log("n")) * F.col("idf"))
+    w = counts.select(*keys, term, "n").join(vocab, term).withColumn("w", (1.0 + F.log("n")) * F.col("idf"))
     norm = w.groupBy(*keys).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     scored = w.join(norm, keys).select(*keys, term, F.round(F.col("w") / F.col("norm"), 9).alias("score")).filter("score > 0")
     return top_k(scored, keys, "score", [term], n)
@@ -81,7 +94,11 @@ def tfidf_terms(tokens: DataFrame, keys: list[str], doc: str, term: str, n: int
 def class_tfidf(tokens: DataFrame, keys: list[str], doc: str, term: str, n: int = 10, min_df: int = 2) -> DataFrame:
     """Class-based TF-IDF: share of the term in the class times ln(1 + mean class length / frequency of the term)."""
     df = tokens.groupBy(term).agg(F.countDistinct(doc).alias("df")).filter(F.col("df") >= min_df)
-    c = tokens.filter("topic >= 0").join(df, term).groupBy(*keys, term).agg(F.count(F.lit(1)).alias("n"))
+    return class_tfidf_of_counts(tokens.filter("topic >= 0").join(df, term).groupBy(*keys, term).agg(F.count(F.lit(1)).alias("n")), keys, term, n)
+
+
+def class_tfidf_of_counts(c: DataFrame, keys: list[str], term: str, n: int = 10) -> DataFrame:
+    """B15 from the occurrences (keys, term, n) of the terms of the vocabulary in the classes."""
     size = c.groupBy(*keys).agg(F.sum("n").alias("size"))
     freq = c.groupBy(term).agg(F.sum("n").alias("f"))
     mean = size.agg((F.sum("size") / F.count(F.lit(1))).alias("mean"))
@@ -89,13 +106,13 @@ def class_tfidf(tokens: DataFrame, keys: list[str], doc: str, term: str, n: int
     return top_k(s, keys, "score", [term], n).select(*keys, term, "score", "rank")
 
 
-def cooccurrence_coherence(tokens: DataFrame, tops: DataFrame, keys: list[str], doc: str, term: str) -> DataFrame:
+def cooccurrence_coherence(tokens: DataFrame, tops: DataFrame, keys: list[str], doc: str, term: str, total: int | None = None) -> DataFrame:
     """U_mass and document NPMI of each group's top terms over all records.
 
     Only the occurrences of top terms are joined with each other, within a record; each record has at most as many distinct
-    top terms as there are.
+    top terms as there are. ``total`` is the number of all records where ``tokens`` holds only some of them.
     """
-    total = tokens.select(doc).distinct().count()
+    total = tokens.select(doc).distinct().count() if total is None else total
     terms = tops.select(term).distinct()
     occ = tokens.select(doc, term).distinct().join(terms, term)
     df = occ.groupBy(term).agg(F.count(F.lit(1)).alias("df"))

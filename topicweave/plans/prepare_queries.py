@@ -118,9 +118,10 @@ def _sent(spark, d):
 
 @query("scalar_phrases")
 def _phr(spark, d):
-    """S17f."""
+    """S17f: phrases of title and abstract."""
     stop = "a an and are as at be been by for from has have in into is it its of on or that the to under up we with without which".split()
-    p = X.pub(spark, d).select("uid", F.explode(F.array_distinct(T.phrases(F.col("title"), stop))).alias("phrase"))
+    of = lambda c: F.coalesce(T.phrases(F.col(c), stop), F.array().cast("array<string>"))
+    p = X.pub(spark, d).select("uid", F.explode(F.array_distinct(F.concat(of("title"), of("abstract")))).alias("phrase"))
     return p.groupBy("phrase").agg(F.count(F.lit(1)).alias("n"))
 
 

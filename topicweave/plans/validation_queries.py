@@ -275,6 +275,66 @@ def _b17(spark, d):
     return rounded(a.withColumn("diversity", F.col("kinds") / F.col("total")))
 
 
+# --- term weights of whole texts; SQL has no counterpart here, the queries above give it for titles
+# Function words that no term holds.
+STOP = "a about above across after again against all almost along already also although always am among an and another any are around as at be became because become been before being below between both but by can cannot could did do does doing done down due during each either else ever every few first for from further had has have having he her here hers him his how however i if in indeed into is it its itself last least less made many may me might more moreover most much must my neither never no nor not nothing now of off often on once one only onto or other others otherwise our ours out over own per perhaps rather same seem she should since so some still such than that the their them then there therefore these they this those through throughout thus to together too toward towards two under until up upon us very via was we well were what when where whether which while who whose why will with within without would yet you your".split()
+
+
+def documents(spark, d):
+    """(uid, keys, text): cleaned title and abstract of every record of the years of ``prep_corpus`` with at least ten words."""
+    p = X.pub(spark, d).filter(F.col("year").between(2000, 2025)).select("uid", *I.KEYS, T.topic_text(F.col("title"), F.col("abstract")).alias("text"))
+    return p.filter(T.word_count(F.col("text")) >= 10)
+
+
+def text_words(spark, d):
+    return documents(spark, d).select("uid", *I.KEYS, F.regexp_extract_all("text", F.lit(r"\b[a-z][a-z0-9-]+\b"), F.lit(0)).alias("words"))
+
+
+def text_ngrams(spark, d):
+    """Words without stop words, and pairs of neighbours among those left."""
+    w = documents(spark, d).select("uid", *I.KEYS, F.filter(F.regexp_extract_all("text", F.lit(r"\b\w\w+\b"), F.lit(0)), lambda x: ~x.isin(STOP)).alias("w"))
+    pairs = F.when(F.size("w") > 1, F.zip_with(F.expr("slice(w, 1, size(w) - 1)"), F.expr("slice(w, 2, size(w) - 1)"), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))
+    return w.select("uid", *I.KEYS, F.concat("w", pairs).alias("words"))
+
+
+def _text_tops(words):
+    c = reliable(V.term_counts(words, I.KEYS, "words"))
+    kept = c.groupBy("term").agg(F.sum("df").alias("df")).filter("df >= 2").select("term")
+    return V.class_tfidf_of_counts(c.filter("topic >= 0").join(kept, "term").select(*I.KEYS, "term", "n"), I.KEYS, "term")
+
+
+@query("valid_text_tfidf_terms")
+def _b14_text(spark, d):
+    """B14 on title and abstract, single words and pairs."""
+    docs = text_ngrams(spark, d)
+    c = reliable(V.term_counts(docs, I.KEYS, "words"))
+    df = c.groupBy("term").agg(F.sum("df").alias("df"), F.sum("n").alias("tf"))
+    top = V.tfidf_of_counts(c, df, documents(spark, d).count(), I.KEYS, "term")
+    return rounded(top.filter("topic >= 0").select(*I.KEYS, "term", "score"), digits=5)
+
+
+@query("valid_text_class_tfidf")
+def _b15_text(spark, d):
+    """B15 on title and abstract."""
+    return rounded(_text_tops(text_words(spark, d)))
+
+
+@query("valid_text_coherence")
+def _b16_text(spark, d):
+    """B16 on title and abstract."""
+    words = text_words(spark, d)
+    tops = reliable(_text_tops(words))
+    held = words.select("uid", F.explode(F.array_distinct("words")).alias("term")).join(F.broadcast(tops.select("term").distinct()), "term", "left_semi")
+    return rounded(V.cooccurrence_coherence(reliable(held), tops, I.KEYS, "uid", "term", documents(spark, d).count()))
+
+
+@query("valid_text_diversity")
+def _b17_text(spark, d):
+    """B17 on title and abstract."""
+    a = _text_tops(text_words(spark, d)).groupBy("phase").agg(F.countDistinct("term").alias("kinds"), F.count(F.lit(1)).alias("total"))
+    return rounded(a.withColumn("diversity", F.col("kinds") / F.col("total")))
+
+
 @query("valid_summary", W(TOPICS, RATE) + "SELECT phase, round(avg(r), 6) AS mean, round(stddev_pop(r), 6) AS sd, round(median(r), 6) AS median, count(r) AS valid FROM rate GROUP BY 1")
 def _b18(spark, d):
     r = I.topics(X.pub(spark, d)).filter("year IS NOT NULL").select("phase", I.citation_rate(F.col("times_cited"), F.col("year")).alias("r"))
