@@ -81,7 +81,7 @@ def standardisations(ind: DataFrame, spark) -> DataFrame:
     return I.memberships(I.dimension_scores(v, keys=["phase", "variant"]), keys=["phase", "variant"])
 
 
-def perturbed(ind: DataFrame, levels=(0.05, 0.1, 0.2, 0.3), reps: int = 50, seed: int = 42) -> DataFrame:
+def perturbed(ind: DataFrame, levels=(0.05, 0.1, 0.2, 0.3), reps: int = 1000, seed: int = 42) -> DataFrame:
     """Memberships of indicators with Gaussian noise of ``level`` standard deviations, ``reps`` times each."""
     sd = ind.groupBy("phase").agg(*[F.stddev_pop(i).alias(f"sd_{i}") for i in I.INDICATORS])
     r = replicates(ind.join(sd, "phase"), reps).withColumn("level", F.explode(F.array(*[F.lit(float(x)) for x in levels])))
@@ -120,7 +120,7 @@ def mean_within(ind: DataFrame, keys: list[str]) -> DataFrame:
     return one.select(*keys, mean(True).alias("within"), mean(False).alias("between"))
 
 
-def null_model(ind: DataFrame, reps: int = 50, seed: int = 42, blocks: dict[str, list[str]] | None = None) -> DataFrame:
+def null_model(ind: DataFrame, reps: int = 1000, seed: int = 42, blocks: dict[str, list[str]] | None = None) -> DataFrame:
     """Observed structure, mean and deviation under permutation, standardised effect and p-value (one-sided)."""
     blocks = blocks or {i: [i] for i in I.INDICATORS}
     obs = mean_within(ind, ["phase"]).select("phase", (F.col("within") - F.col("between")).alias("observed"))
@@ -150,7 +150,7 @@ def time_permutation_ses(pub: DataFrame, terms: DataFrame, reps: int = 50, seed:
     return a.select(*I.KEYS, "observed", F.when((F.col("nulls") >= 10) & (F.col("sd") > 0), (F.col("observed") - F.col("mean")) / F.col("sd")).alias("eo1_a2"))
 
 
-def split_halves(pub: DataFrame, reps: int = 20, seed: int = 42) -> DataFrame:
+def split_halves(pub: DataFrame, reps: int = 50, seed: int = 42) -> DataFrame:
     """Every record in half 0 or 1 of each replicate, by hash; balanced in expectation, without sorting."""
     return replicates(pub, reps).withColumn("half", F.pmod(F.xxhash64(F.lit(seed), "rep", "uid"), F.lit(2)).cast("int"))
 
@@ -163,14 +163,14 @@ def split_half_reliability(values: DataFrame, value: str) -> DataFrame:
     return r.withColumn("sb", 2 * F.col("rho") / (1 + F.col("rho"))).groupBy("phase").agg(F.avg("sb").alias("reliability"), F.count("sb").alias("reps"))
 
 
-def rarefied(pub: DataFrame, m: int = 25, reps: int = 10, seed: int = 42) -> DataFrame:
+def rarefied(pub: DataFrame, m: int = 25, reps: int = 30, seed: int = 42) -> DataFrame:
     """M records of each topic per replicate, those of smallest hash. Slices by hash are cut to m first, so no topic is sorted whole."""
     r = replicates(I.topics(pub), reps).withColumn("h", F.xxhash64(F.lit(seed), "rep", "uid")).withColumn("part", F.pmod("h", F.lit(32)))
     r = r.withColumn("k", F.row_number().over(Window.partitionBy(*I.KEYS, "rep", "part").orderBy("h", "uid"))).filter(F.col("k") <= m)
     return r.withColumn("k", F.row_number().over(Window.partitionBy(*I.KEYS, "rep").orderBy("h", "uid"))).filter(F.col("k") <= m).drop("k", "part", "h")
 
 
-def bootstrap_rho(df: DataFrame, x: str, y: str, reps: int = 200, seed: int = 42) -> DataFrame:
+def bootstrap_rho(df: DataFrame, x: str, y: str, reps: int = 2000, seed: int = 42) -> DataFrame:
     """2.5 and 97.5 percentiles of Spearman's rho over resamples of topics with replacement."""
     n = df.groupBy("phase").agg(F.count(F.lit(1)).alias("n"))
     rows = df.withColumn("i", F.row_number().over(Window.partitionBy("phase").orderBy("topic"))).select("phase", "i", x, y)
@@ -188,7 +188,7 @@ def cross_validation_folds(df: DataFrame, size: str, folds: int = 5, repeats: in
     return replicates(t, repeats, "repeat").withColumn("fold", F.pmod(F.row_number().over(Window.partitionBy("phase", "repeat", "tercile").orderBy(F.xxhash64(F.lit(seed), "repeat", "topic"), "topic")), F.lit(folds)).cast("int"))
 
 
-def random_weights(scored: DataFrame, reps: int = 200, seed: int = 42) -> DataFrame:
+def random_weights(scored: DataFrame, reps: int = 1000, seed: int = 42) -> DataFrame:
     """Memberships with random weights of the dimensions (exponential, scaled to mean 1), class shares per replicate."""
     r = replicates(scored, reps)
     dims = list(I.DIMENSIONS)

@@ -97,13 +97,13 @@ def _m18b(spark, d):
 def _c13(spark, d):
     """C13."""
     p = X.pub(spark, d)
-    return rounded(S.time_permutation_ses(p, X.terms(p, "kw"), reps=30))
+    return rounded(S.time_permutation_ses(p, X.terms(p, "kw")))
 
 
 @query("resample_split_half")
 def _m22(spark, d):
     """Reliability of the mean age of topics over split halves."""
-    h = S.split_halves(X.pub(spark, d), 20).filter("topic >= 0").groupBy("rep", "half", *I.KEYS).agg(F.avg(F.col("times_cited").cast("double")).alias("v"))
+    h = S.split_halves(X.pub(spark, d)).filter("topic >= 0").groupBy("rep", "half", *I.KEYS).agg(F.avg(F.col("times_cited").cast("double")).alias("v"))
     return rounded(S.split_half_reliability(h, "v"))
 
 
@@ -111,7 +111,7 @@ def _m22(spark, d):
 def _m22b(spark, d):
     """Mean number of different keywords of 25 records."""
     p = X.pub(spark, d)
-    r = S.rarefied(p.select("uid", *I.KEYS), 25, 10)
+    r = S.rarefied(p.select("uid", *I.KEYS), 25)
     kinds = r.join(X.terms(p, "kw", ["uid"]), "uid").groupBy(*I.KEYS, "rep").agg(F.countDistinct("term").alias("k"))
     return rounded(kinds.groupBy(*I.KEYS).agg(F.avg("k").alias("keywords"), F.count(F.lit(1)).alias("reps")))
 
@@ -134,7 +134,7 @@ def _c26(spark, d):
 def _m24(spark, d):
     """Shares of the classes over random weights."""
     r = S.random_weights(_base(spark, d))
-    return rounded(r.groupBy(*I.KEYS, "dominant").agg((F.count(F.lit(1)) / 200.0).alias("share")))
+    return rounded(r.groupBy(*I.KEYS, "dominant").agg((F.count(F.lit(1)) / 1000.0).alias("share")))
 
 
 @query("valid_residualised", W(TOPICS, "t AS (SELECT phase, topic, avg(CAST(times_cited AS DOUBLE)) AS x, ln(count(*)) AS l FROM tp GROUP BY 1, 2)", "c AS (SELECT phase, regr_slope(x, l) AS b, avg(x) AS mx, avg(l) AS ml FROM t GROUP BY 1)") + "SELECT t.phase, topic, round(x - mx - b * (l - ml), 6) AS x_res FROM t JOIN c USING (phase)")
@@ -170,7 +170,7 @@ def _m5(spark, d):
     cols, x = N.matrix(indicators16(spark, d), cols, 0.001)
     r = N.correlation(x)
     chi, df, p = N.bartlett(r, len(x))
-    _, _, kept = N.parallel_analysis(x, 50)
+    _, _, kept = N.parallel_analysis(x)
     row = (len(x), len(cols), N.kmo(r), chi, df, p, kept, N.effective_number(r))
     return spark.createDataFrame([tuple(float(v) if isinstance(v, float) else int(v) for v in row)], "topics int, columns int, kmo double, chi2 double, df int, p double, factors int, effective double")
 
