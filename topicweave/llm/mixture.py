@@ -5,8 +5,10 @@ prefix sums of expected copies get one random offset per source, and a document
 the expected number of times rounded down or up, never more often than its source allows, and since neighbours are of like size the
 tokens of a source come out close to its share.
 
-The total defaults to the largest one at which every source with documents reaches its share within its repeats. Shares of
-sources without documents are spread over the others in proportion and reported as 0. Null, empty and token-free texts and rows of
+The total is stated or defaults to the tokens that the target sources have. A source that cannot reach its share of it within its
+repeats gives all its documents ``max_repeats`` times; what it lacks is spread over the others in proportion to their shares, as water
+fills vessels, until each of them is full or the total is reached. Shares of sources without documents are spread likewise and
+reported as 0, so the size of the mixture never hangs on the smallest source. Null, empty and token-free texts and rows of
 sources without a target take no part; a null, zero or negative target share and repeats below 1 take a source out.
 """
 
@@ -54,22 +56,30 @@ def token_counter(path: str | None = None, pattern: str | None = None):
 
 
 def source_plan(sized: DataFrame, targets: DataFrame, source: str, total_tokens: float | None = None) -> DataFrame:
-    """(<source>, target_share, max_repeats, share, documents, tokens, copies): one row per target.
+    """(<source>, target_share, max_repeats, share, documents, tokens, copies, full): one row per target.
 
-    ``share`` is the target over the sources that have documents, ``copies`` the expected copies of each document. Without
-    ``total_tokens`` the total is the largest that all of them reach; with it, a source that cannot reach its share gives
-    all its documents ``max_repeats`` times.
+    ``copies`` are the expected copies of each document, ``full`` says that the source is at its cap, ``share`` is its part of
+    the planned mixture. Sources fill in the order of cap / target share: with the caps of those before it and the shares of those
+    from it on, the level of a source is what the rest of the total comes to per unit of share; the first source whose level lies
+    below its own cap fixes the level of all (levels only sink after it, so it is the largest of those), and those before it are full. Repeated targets of a source are the caller's error.
     """
     sized = sized.select(source, "n_tokens")
     have = sized.groupBy(source).agg(F.count(F.lit(1)).alias("documents"), F.sum("n_tokens").alias("tokens"))
     usable = "target_share > 0 AND max_repeats >= 1 AND tokens > 0"
     p = targets.select(source, "target_share", "max_repeats").join(have, source, "left").withColumn("usable", F.coalesce(F.expr(usable), F.lit(False)))
-    all_rows = Window.partitionBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # one row per target source
-    p = p.withColumn("share", F.when(F.col("usable"), F.col("target_share") / F.sum(F.when(F.col("usable"), F.col("target_share"))).over(all_rows)))
-    reach = F.min(F.col("max_repeats") * F.col("tokens") / F.col("share")).over(all_rows)
-    total = F.lit(float(total_tokens)) if total_tokens is not None else reach
-    p = p.withColumn("copies", F.when(F.col("usable"), F.least(total * F.col("share") / F.col("tokens"), F.col("max_repeats").cast("double"))))
-    return p.select(source, "target_share", "max_repeats", "share", F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("copies", F.lit(0.0)).alias("copies"))
+    p = p.withColumn("want", F.when(F.col("usable"), F.col("target_share"))).withColumn("cap", F.when(F.col("usable"), F.col("max_repeats") * F.col("tokens").cast("double")))
+    one_group = Window.partitionBy(F.lit(1))  # one row per target source
+    every = one_group.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    filling = one_group.orderBy(F.asc_nulls_last(F.col("cap") / F.col("want")), source)
+    asked = F.lit(float(total_tokens)) if total_tokens is not None else F.sum(F.when(F.col("usable"), F.col("tokens").cast("double"))).over(every)
+    spent = F.coalesce(F.sum("cap").over(filling.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    open_shares = F.sum("want").over(filling.rowsBetween(0, Window.unboundedFollowing))
+    p = p.withColumn("level", F.when(F.col("usable"), (asked - spent) / open_shares))
+    level = F.max(F.when(F.col("level") <= F.col("cap") / F.col("want"), F.col("level"))).over(every)
+    p = p.withColumn("planned", F.when(F.col("usable"), F.least(F.coalesce(level * F.col("want"), F.col("cap")), F.col("cap"))))
+    p = p.withColumn("share", F.col("planned") / F.sum("planned").over(every)).withColumn("full", F.col("usable") & (F.col("planned") >= F.col("cap")))
+    copies = F.when(F.col("full"), F.col("max_repeats").cast("double")).otherwise(F.col("planned") / F.col("tokens"))
+    return p.select(source, "target_share", "max_repeats", "share", F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce(copies, F.lit(0.0)).alias("copies"), "full")
 
 
 def mix_sources(docs: DataFrame, doc: str, source: str, targets: DataFrame, total_tokens: float | None = None, seed: int = 7) -> DataFrame:
@@ -99,12 +109,14 @@ def mix_sources(docs: DataFrame, doc: str, source: str, targets: DataFrame, tota
 
 
 def mixture_report(mixture: DataFrame, docs: DataFrame, source: str, targets: DataFrame, total_tokens: float | None = None) -> DataFrame:
-    """(<source>, target_share, documents, taken, tokens, share_reached, most_copies): what each target source gave.
+    """(<source>, target_share, planned_share, full, documents, taken, tokens, share_reached, most_copies): what each target source gave.
 
-    ``share_reached`` is over the tokens of the whole mixture, 0 for a source without documents.
+    ``share_reached`` is over the tokens of the whole mixture, 0 for a source without documents; ``full`` marks a source that
+    its repeats keep below its target.
     """
     got = mixture.groupBy(source).agg(F.count(F.lit(1)).alias("taken"), F.sum("n_tokens").alias("got"), F.max("copy").alias("most"))
     plan = source_plan(docs.filter("n_tokens > 0"), targets, source, total_tokens).join(got, source, "left")
     all_rows = Window.partitionBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # one row per target source
     share = F.coalesce(F.col("got") / F.sum("got").over(all_rows), F.lit(0.0))
-    return plan.select(source, "target_share", "documents", F.coalesce("taken", F.lit(0)).alias("taken"), F.coalesce("got", F.lit(0)).alias("tokens"), share.alias("share_reached"), F.coalesce("most", F.lit(0)).alias("most_copies"))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    return plan.select(source, "target_share", F.coalesce("share", F.lit(0.0)).alias("planned_share"), "full", "documents", zero("taken").alias("taken"), zero("got").alias("tokens"), share.alias("share_reached"), zero("most").alias("most_copies"))

@@ -108,7 +108,7 @@ def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_shares(spark: SparkSession, d: str) -> DataFrame:
-    """Problem 7: the shares reached."""
+    """Problem 7: the shares planned and reached, and which sources are full."""
     sized, targets = _sized(spark, d), _table(spark, d, "mix_targets")
     return mixture.mixture_report(mixture.mix_sources(sized, "doc_id", "source", targets), sized, "source", targets)
 
