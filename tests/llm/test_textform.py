@@ -2,6 +2,8 @@ import itertools
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from topicweave.llm import textform as X
 
 
@@ -50,3 +52,13 @@ def test_pairs_against_brute_force(spark):
 def test_canonical(spark):
     got = X.canonical_texts(spark.createDataFrame(ROWS, "id long, title string, own string"), "id", ["title"]).collect()
     assert {r.id: r.visible for r in got}[1] == "one file" and {r.id: r.folded for r in got}[4] == "one file" and {r.id: r.visible for r in got}[5] is None and len(got) == 9
+
+
+def test_greek_symbols_stay_and_greek_letters_in_latin_words_do_not():
+    assert X.visible_form("α decay of γ rays, ρ = 1") == "α decay of γ rays, ρ = 1"
+    assert X.visible_form("qυαntυm ΑTOM sοlid") == "quantum ATOM solid" and X.visible_form("νιρ αγ") == "νιρ αγ"
+
+
+def test_many_copies_beside_one_variant(spark):
+    rows = spark.range(200_000).select(F.col("id").alias("row_id"), F.lit("the same text").alias("title")).unionByName(spark.createDataFrame([(10**7, "the\u00a0same text")], "row_id long, title string"))
+    assert X.look_alike_pairs(rows, "row_id", ["title"]).count() == 200_000

@@ -21,15 +21,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Letters of other scripts that are drawn like a Latin letter (left: the other letters, right: the Latin ones).
+from topicweave.operators.graph import reliable
+
+# Letters of other scripts that are drawn like a Latin letter (left: the other letters, right: the Latin ones), the
+# single letters of the confusables table of Unicode Technical Standard 39 in Cyrillic, Greek and Armenian and a few Latin variants.
 LOOK_ALIKES = (
     ("аеорсухіјѕһԁԛԝѵӏ", "aeopcyxijshdqwvl"),  # Cyrillic small
     ("АВЕКМНОРСТУХІЈЅԚԜѴ", "ABEKMHOPCTYXIJSQWV"),  # Cyrillic capital
-    ("αγινορυϲ", "ayivopuc"),  # Greek small
+    ("οϲ", "oc"),  # Greek small, drawn alike
     ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹ", "ABEZHIKMNOPTYXC"),  # Greek capital
     ("օսհոցզՕՏ", "ouhngqOS"),  # Armenian
     ("ɑɡıǀ‐‑", "agil--"),  # Latin variants and hyphens
 )
+# Greek small letters that resemble a Latin one and are symbols by themselves: α decay is no "a decay". They are
+# taken for Latin only inside a word that has Latin letters.
+LOOK_ALIKES_IN_WORDS = ("αγινρυ", "ayivpu")
 # Code points that Unicode calls default-ignorable, as ranges.
 IGNORABLE = (
     (0x00AD, 0x00AD), (0x034F, 0x034F), (0x061C, 0x061C), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F),
@@ -41,6 +47,9 @@ SAME_LOOK = {"<wide>", "<narrow>", "<compat>", "<noBreak>", "<font>", "<initial>
 #: A text made of these alone needs no character mapping.
 PLAIN = r"^[\x20-\x7e\n]*$"
 
+_IN_WORDS = str.maketrans(*LOOK_ALIKES_IN_WORDS)
+_GREEK = re.compile(f"[{LOOK_ALIKES_IN_WORDS[0]}]")
+_MIXED_WORD = re.compile(r"[^\W\d_]*(?:[a-zA-Z][^\W\d_]*[%s]|[%s][^\W\d_]*[a-zA-Z])[^\W\d_]*" % (LOOK_ALIKES_IN_WORDS[0], LOOK_ALIKES_IN_WORDS[0]))
 _ALIKE = {ord(a): b for left, right in LOOK_ALIKES for a, b in zip(left, right, strict=True)}
 _BLANKS = re.compile(r"  +")
 _EDGES = re.compile(r" ?\n ?")
@@ -91,6 +100,8 @@ def visible_form(text: str | None) -> str | None:
         text = text.replace("\r\n", "\n").replace("\r", "\n")
     text = _SPECIAL.sub(_map_one, text)
     if not text.isascii():
+        if _GREEK.search(text):
+            text = _MIXED_WORD.sub(lambda m: m[0].translate(_IN_WORDS), text)
         text = unicodedata.normalize("NFC", text)
     if "  " in text:
         text = _BLANKS.sub(" ", text)
@@ -133,30 +144,44 @@ def folded_column(text: Column) -> Column:
     return F.coalesce(folded_udf(F.when(~text.rlike(PLAIN), text)), F.lower(_plain_blanks(text)))
 
 
+_BOTH = T.StructType([T.StructField("visible", T.StringType()), T.StructField("folded", T.StringType())])
+
+
+@F.pandas_udf(_BOTH)
+def _both_udf(values: pd.Series) -> pd.DataFrame:
+    known = {v: (x := visible_form(v), x.lower() if x.isascii() else unicodedata.normalize("NFC", x.casefold())) for v in values.dropna().unique()}
+    none = (None, None)
+    return pd.DataFrame([known.get(v, none) if v is not None else none for v in values], columns=["visible", "folded"])
+
+
 def canonical_texts(rows: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """(key, field_name, visible, folded): every named field of every row in one form; null stays null."""
+    """(key, field_name, visible, folded): every named field of every row in one form; null stays null. Both forms come from one
+    evaluation per distinct value of a batch; plain ASCII never leaves the JVM."""
     long = rows.select(F.col(key), F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("text")) for f in fields])).alias("x"))
-    long = long.select(key, "x.field_name", visible_column(F.col("x.text")).alias("visible"))
-    return long.withColumn("folded", F.coalesce(folded_udf(F.when(~F.col("visible").rlike(PLAIN), F.col("visible"))), F.lower("visible")))
+    long = long.select(key, "x.field_name", F.col("x.text").alias("text"), _both_udf(F.when(~F.col("x.text").rlike(PLAIN), F.col("x.text"))).alias("both"))
+    plain = _plain_blanks(F.col("text"))
+    return long.select(key, "field_name", F.coalesce("both.visible", plain).alias("visible"), F.coalesce("both.folded", F.lower(plain)).alias("folded"))
 
 
 def look_alike_pairs(rows: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """(field_name, <key>_a, <key>_b): rows whose field looks the same although the strings differ, smaller key first.
 
-    Equal strings are no pair, null and empty texts (also those empty to a reader) have none. Only digests travel: texts that
-    look the same share the digest of their visible form, and within it *distinct strings* meet, never copies; the keys of
-    a string come back by its own digest. A look with a single string is dropped before any join, so a text that is copied a
-    million times, identically, costs one row.
+    Equal strings are no pair, null and empty texts (also those empty to a reader) have none. The texts are read and brought into
+    one form once; what is kept in the checkpoint folder are digests of fixed size. Looks of a single string leave first.
+    Then the *distinct strings* of a look meet, never copies, and the rows of a string come back by its own digest, so a text that is
+    copied a million times costs one string, and beside it a variant costs only the pairs that are asked for.
     """
     digest = lambda c: F.unhex(F.md5(c))
     long = rows.select(F.col(key).alias("row"), F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("text")) for f in fields])).alias("x"))
     long = long.select("row", "x.field_name", F.col("x.text").alias("text")).filter(F.length("text") > 0)
     look = long.select("row", "field_name", digest(F.col("text")).alias("own"), visible_column(F.col("text")).alias("visible"))
-    look = look.filter(F.length("visible") > 0).select("row", "field_name", "own", digest(F.col("visible")).alias("look"))
-    strings = look.groupBy("field_name", "look", "own").agg(F.count(F.lit(1)).alias("n"))
-    several = strings.groupBy("field_name", "look").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").drop("kinds")
-    cases = look.join(several, ["field_name", "look"], "left_semi")
-    a = cases.select("field_name", "look", F.col("own").alias("own_a"), F.col("row").alias("row_a"))
-    b = cases.select("field_name", "look", F.col("own").alias("own_b"), F.col("row").alias("row_b"))
-    pairs = a.join(b, ["field_name", "look"]).filter("own_a <> own_b AND row_a < row_b")
-    return pairs.select("field_name", F.col("row_a").alias(f"{key}_a"), F.col("row_b").alias(f"{key}_b"))
+    empty = digest(F.lit(""))
+    look = reliable(look.select("row", "field_name", "own", digest(F.col("visible")).alias("look"))).filter(F.col("look") != empty)
+    strings = look.select("field_name", "look", "own").distinct()
+    several = strings.groupBy("field_name", "look").agg(F.min("own").alias("first"), F.max("own").alias("last")).filter("first <> last").select("field_name", "look")
+    strings = reliable(strings.join(several, ["field_name", "look"], "left_semi"))
+    met = strings.withColumnRenamed("own", "own_a").join(strings.withColumnRenamed("own", "own_b"), ["field_name", "look"]).filter("own_a < own_b").select("field_name", "own_a", "own_b")
+    held = look.join(strings.select("field_name", "own"), ["field_name", "own"], "left_semi").select("field_name", "own", "row")
+    a, b = held.select("field_name", F.col("own").alias("own_a"), F.col("row").alias("r")), held.select("field_name", F.col("own").alias("own_b"), F.col("row").alias("s"))
+    pairs = met.join(a, ["field_name", "own_a"]).join(b, ["field_name", "own_b"]).filter("r <> s")
+    return pairs.select("field_name", F.least("r", "s").alias(f"{key}_a"), F.greatest("r", "s").alias(f"{key}_b"))
