@@ -62,3 +62,24 @@ def test_pairs(spark):
     pairs = [tuple(r) for r in N.same_entity_pairs(got).collect()]
     assert len(pairs) == len(set(pairs)) and all(a < b for a, b in pairs) and len(pairs) == 8 * 7 // 2 + 4 * 3 // 2
     assert N.organisations(df.limit(0), "org").count() == 0
+
+
+def test_score_is_the_rarity_of_the_rewriting_or_the_part_of_the_facts(spark):
+    rows = [("Kay, Anna", "o1", "A")] * 5 + [("Kay, Alma", "o2", "B")] * 3 + [("Kay, A.", None, None), ("A. Kay", "o2", None)] + [("Kay, Bert", None, "C"), ("Kay, B.", None, None)]
+    df = spark.createDataFrame(rows, "author string, orcid string, org string")
+    nick = spark.createDataFrame([], "given_name string, short_form string")
+    got = {(r.name, r.entity): r.score for r in N.persons(df, "author", [(F.col("orcid"), "orcid"), (F.col("org"), "organisation")], nick, "given_name", "short_form").collect()}
+    assert got["Kay, A.", "kay|anna|"] == 0.5 and got["A. Kay", "kay|alma|"] == 1.0 and got["Kay, B.", "kay|bert|"] == 1.0 and len(got) == 6
+
+
+def test_a_surname_of_very_many_persons(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = [(f"Kay, A{x}{y}{z}", f"o{x}{y}{z}", None) for x in letters for y in letters[:12] for z in letters[:10]] + [("A. Kay", "oabc", None), ("Kay A", None, None)]
+    df = spark.createDataFrame(rows, "author string, orcid string, org string")
+    nick = spark.createDataFrame([], "given_name string, short_form string")
+    listed = df.select(F.split("author", ", ")[1].alias("given_name"), F.lit(None).cast("string").alias("short_form"))
+    got = N.persons(df, "author", [(F.col("orcid"), "orcid")], nick.unionByName(listed.limit(0)), "given_name", "short_form")
+    by = {}
+    for r in got.collect():
+        by.setdefault(r.name, []).append((r.entity, r.score))
+    assert len(by["A. Kay"]) == 1 and len(by["Kay A"]) == 1 and by["Kay A"][0][1] < 0.01

@@ -1,16 +1,18 @@
 """Problem 5: spellings that mean the same person or organisation.
 
 Every distinct spelling is rewritten into canonical forms by rules - nicknames, initials, legal forms and abbreviations, token order,
-one typing error - the forms are exploded and joined by equality, and a rewriting counts by its rarity: one that leads to a single
-entity is taken, one that several entities share needs evidence (a common ORCID or organisation), and one typing error
-links only a rare spelling to a more frequent one that explains it.
+one typing error - the forms are exploded and joined by equality, and a rewriting counts by its rarity, 1 / the number of
+entities that share its forms: 1 decides alone; a lower one needs evidence (a common ORCID or organisation).
 
 *Organisations*: tokens are folded, expanded, freed from legal forms and connectors, and sorted; equal token strings are one
 organisation. Spellings whose letters differ by one insertion, deletion, substitution or swap (blanks count nothing) are joined to
-the more frequent one unless both have variants of their own.
+the most frequent one that is used at least ``MISTYPED`` times as often; up to two uses are a slip beside any not rarer one.
 
 *Persons*: a spelling is parsed into surname, given name and further initials whatever its order. A person is a surname with a full
-given name (and a middle initial where several are in use); typing errors, short forms and initials lead to the persons they fit.
+given name (and a middle initial where several are in use) and has four forms: with the given name or its initial, and with the middle
+initial or without. A spelling has the forms that it may stand for, after typing errors are mended and short forms replaced.
+A form that very many persons share is one row with their number; its persons meet a spelling only where both have a fact in common,
+so a common surname costs no pairs of spellings and persons.
 
 Everything works on distinct spellings with their counts; a spelling that a third of all rows use is one row. Null and blank names
 give nothing; repeated rows count as repeated use and change no link. Results are pairs of spellings of one entity, each once.
@@ -41,7 +43,7 @@ EXPANSIONS = {
 # Connectors, and legal forms of companies.
 CONNECTORS = frozenset("of for f the and a an in at und fur".split())
 LEGAL_FORMS = frozenset("gmbh mbh gesellschaft inc ltd llc corp co company ag sa bv plc kg limited incorporated corporation branch".split())
-#: A mistyped given name is at least so many times rarer than the right one.
+#: A mistyped form is at least so many times rarer than the right one.
 MISTYPED = 3
 _UNDECOMPOSED = str.maketrans({"ø": "o", "ł": "l", "đ": "d", "ı": "i", "æ": "ae", "œ": "oe"})
 _UMLAUT = re.compile(r"([aou])e+")
@@ -156,17 +158,18 @@ def _near_pairs(nodes: DataFrame, text: str, keep: list[str]) -> DataFrame:
 
 
 def organisations(rows: DataFrame, column: str) -> DataFrame:
-    """(name, entity): every distinct spelling with the organisation it means."""
+    """(name, entity): every distinct spelling with the organisation it means, which its canonical form alone decides."""
     s = _spellings(rows, column).withColumn("p", _organisation_udf("name")).select("name", "n", "p.form", "p.squash")
     s = reliable(s.filter(F.length("form") > 0))
-    groups = s.groupBy("form").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("variants"))
-    nodes = s.join(groups, "form").select("form", "squash", "n", "total", "variants")
+    groups = s.groupBy("form").agg(F.sum("n").alias("total"))
+    nodes = s.join(groups, "form").select("form", "squash", "n", "total")
     # by the letters of a spelling, and by the letters of its canonical tokens
     by_form = groups.withColumn("squash", F.regexp_replace("form", " ", ""))
-    about = ["form", "total", "variants"]
+    about = ["form", "total"]
     near = _near_pairs(nodes, "squash", about).unionByName(_near_pairs(by_form, "squash", about)).select(*[f"{c}_{x}" for c in about for x in "ab"]).distinct()
-    rarer = "total_a < total_b OR total_a = total_b AND (variants_a < variants_b OR variants_a = variants_b AND form_a > form_b)"
-    typed = near.filter(f"form_a <> form_b AND variants_a <= 2 AND ({rarer})")
+    # shares of use, which do not grow with the data
+    rarer = f"total_a * {MISTYPED} <= total_b OR total_a <= 2 AND (total_a < total_b OR total_a = total_b AND form_a > form_b)"
+    typed = near.filter(f"form_a <> form_b AND ({rarer})")
     # a rare form goes to one other only: the most frequent one it may stand for
     best = typed.groupBy("form_a").agg(F.max(F.struct("total_b", "form_b")).alias("m")).select(F.col("form_a").alias("a"), F.col("m.form_b").alias("b"))
     member = connected_components(best, "a", "b").withColumnRenamed("node", "form")
@@ -174,10 +177,13 @@ def organisations(rows: DataFrame, column: str) -> DataFrame:
 
 
 def persons(rows: DataFrame, column: str, evidence: list[tuple[Column, str]], short_forms: DataFrame, given: str, short: str) -> DataFrame:
-    """(name, entity): every distinct spelling with each person that uses it; a spelling of two persons has two rows.
+    """(name, entity, score): every distinct spelling with each person that uses it; a spelling of two persons has two rows.
 
     ``evidence`` are columns of ``rows`` (an ORCID, an organisation) with a name each; ``short_forms`` is a table of given
-    names and their short forms.
+    names and their short forms. ``score`` is the rarity of the rewriting, 1 over the persons that share the spelling's forms, or,
+    where facts decide, the person's part of the facts that the spelling shares with any of them (an ORCID counts twice). A person
+    with shared facts is taken; without any, the spelling goes to the one that is used most, at its rarity. Spellings that fit
+    nobody are persons by surname and initials, at score 1.
     """
     s = _spellings(rows, column).withColumn("p", _person_udf("name")).select("name", "n", "p.last", "p.first", "p.initials")
     s = reliable(s.filter(F.length("last") > 0))
@@ -202,38 +208,43 @@ def persons(rows: DataFrame, column: str, evidence: list[tuple[Column, str]], sh
     long_form = fixed.filter("first <> '' AND is_short IS NULL")
     people = long_form.groupBy("last", "first").agg(F.collect_set(F.when(F.col("mid") != "", F.col("mid"))).alias("mids"), F.sum("n").alias("weight"))
     people = people.select("last", "first", "weight", F.explode(F.when(F.size("mids") == 0, F.array(F.lit(""))).otherwise(F.col("mids"))).alias("p_mid"))
-    people = reliable(people.withColumn("entity", F.concat_ws("|", "last", "first", "p_mid")))
-    fits = (F.col("mid") == "") | (F.col("p_mid") == "") | (F.col("mid") == F.col("p_mid"))
-    a = long_form.join(people, ["last", "first"]).filter(fits).select("name", "entity", "weight", (F.col("mid") == F.col("p_mid")).alias("sure"))
+    people = people.withColumn("entity", F.concat_ws("|", "last", "first", "p_mid"))
+    key = lambda kind, name, mid: F.concat_ws("|", F.lit(kind), "last", name, mid)
+    letter = F.substring("first", 1, 1)
+    any_mid = F.lit("*")
+    held = F.array(key("name", F.col("first"), any_mid), key("name", F.col("first"), F.col("p_mid")), key("initial", letter, any_mid), key("initial", letter, F.col("p_mid")))
+    held = reliable(people.select("entity", "weight", F.explode(held).alias("form")))
+    # the forms of a spelling; a middle initial fits the persons that have it and, where there is none, those known without any
+    asks = lambda kind, name: F.explode(F.when(F.col("mid") == "", F.array(F.struct(key(kind, name, any_mid).alias("form"), F.lit(False).alias("sure")))).otherwise(
+        F.array(F.struct(key(kind, name, F.col("mid")).alias("form"), F.lit(True).alias("sure")), F.struct(key(kind, name, F.lit("")).alias("form"), F.lit(False).alias("sure"))))).alias("ask")
     shorts = fixed.filter("is_short").join(nick, "first").select("name", "last", F.col("given").alias("first"), "mid")
-    b = shorts.join(people, ["last", "first"]).filter(fits).select("name", "entity", "weight", F.lit(False).alias("sure"))
-    initials = fixed.filter("first = '' AND initial <> ''").select("name", "last", "initial", "mid")
-    by_initial = people.withColumn("initial", F.substring("first", 1, 1))
-    c = initials.join(by_initial, ["last", "initial"]).filter(fits)
-    c = c.select("name", "entity", "weight", ((F.col("mid") != "") & (F.col("mid") == F.col("p_mid"))).alias("sure"))
-    c = c.withColumn("any_sure", F.max("sure").over(Window.partitionBy("name"))).filter("sure OR NOT any_sure").drop("any_sure")
-    fit = reliable(a.unionByName(b).unionByName(c).groupBy("name", "entity").agg(F.max("weight").alias("weight"), F.max("sure").alias("sure")))
-    choices = fit.groupBy("name").agg(F.count(F.lit(1)).alias("choices"))
-    fit = fit.join(choices, "name")
-    single = fit.filter("choices = 1").select("name", "entity")
-    # several persons fit: those who share an ORCID or organisation with mentions of the spelling, else the most frequent
-    several = fit.filter("choices > 1")
+    asked = long_form.select("name", asks("name", F.col("first"))).unionByName(shorts.select("name", asks("name", F.col("first"))))
+    asked = asked.unionByName(fixed.filter("first = '' AND initial <> ''").select("name", asks("initial", F.col("initial"))))
+    # rarity of a form: how many persons share it; the join is of forms, a row each on the right
+    forms = held.groupBy("form").agg(F.count(F.lit(1)).alias("persons"), F.max_by("entity", F.struct("weight", "entity")).alias("best"), F.max("weight").alias("weight"))
+    fit = asked.select("name", "ask.form", "ask.sure").distinct().join(forms, "form")
+    fit = reliable(fit.withColumn("any_sure", F.max("sure").over(Window.partitionBy("name"))).filter("sure OR NOT any_sure").drop("any_sure"))
+    choices = fit.groupBy("name").agg(F.sum("persons").alias("choices"), F.max_by("best", F.struct("weight", "best")).alias("best"))
+    single = choices.filter("choices = 1").select("name", F.col("best").alias("entity"), F.lit(1.0).alias("score"))
+    several = choices.filter("choices > 1")
+    # several persons fit: those who share an ORCID or organisation with mentions of the spelling, else the most used one
     facts = [rows.select(F.col(column).alias("name"), F.lit(k).alias("kind"), e.cast("string").alias("fact")) for e, k in evidence]
     facts_all = facts[0]
     for f in facts[1:]:
         facts_all = facts_all.unionByName(f)
     facts_all = reliable(facts_all.filter(F.length("fact") > 0).groupBy("name", "kind", "fact").agg(F.count(F.lit(1)).alias("k")))
-    known = single.join(facts_all, "name").groupBy("entity", "kind", "fact").agg(F.sum("k").alias("known"))
-    asked = several.select("name", "entity").join(facts_all, "name")
-    shared = asked.join(known, ["entity", "kind", "fact"]).groupBy("name", "entity").agg(F.sum(F.when(F.col("kind") == "orcid", 2 * F.col("k")).otherwise(F.col("k"))).alias("shared"))
-    ranked = several.join(shared, ["name", "entity"], "left").withColumn("shared", F.coalesce("shared", F.lit(0)))
-    ranked = ranked.withColumn("top", F.max("shared").over(Window.partitionBy("name")))
-    ranked = ranked.withColumn("place", F.row_number().over(Window.partitionBy("name").orderBy(F.desc("shared"), F.desc("sure"), F.desc("weight"), "entity")))
-    chosen = ranked.filter((F.col("shared") > 0) | (F.col("place") == 1)).select("name", "entity")
+    known = single.select("name", "entity").join(facts_all, "name").select("entity", "kind", "fact").distinct()
+    open_forms = fit.join(several.select("name"), "name", "left_semi").select("name", "form")
+    theirs = held.join(open_forms.select("form").distinct(), "form", "left_semi").select("form", "entity").join(known, "entity")
+    shared = open_forms.join(facts_all, "name").join(theirs, ["form", "kind", "fact"])
+    shared = shared.groupBy("name", "entity").agg(F.sum(F.when(F.col("kind") == "orcid", 2 * F.col("k")).otherwise(F.col("k"))).alias("shared"))
+    shared = shared.withColumn("score", F.col("shared") / F.sum("shared").over(Window.partitionBy("name"))).select("name", "entity", "score")
+    shared = reliable(shared)
+    by_use = several.join(shared.select("name").distinct(), "name", "left_anti").select("name", F.col("best").alias("entity"), (1.0 / F.col("choices")).alias("score"))
     # spellings that fit nobody: by surname and initials among themselves
     rest = fixed.join(fit.select("name").distinct(), "name", "left_anti")
-    alone = rest.select("name", F.concat_ws("|", F.lit("?"), "last", F.coalesce(F.when(F.col("first") != "", F.col("first")), "initial", F.lit(""))).alias("entity"))
-    return single.unionByName(chosen).unionByName(alone)
+    alone = rest.select("name", F.concat_ws("|", F.lit("?"), "last", F.coalesce(F.when(F.col("first") != "", F.col("first")), "initial", F.lit(""))).alias("entity"), F.lit(1.0).alias("score"))
+    return single.unionByName(shared).unionByName(by_use).unionByName(alone)
 
 
 def same_entity_pairs(member: DataFrame) -> DataFrame:

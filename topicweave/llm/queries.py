@@ -81,10 +81,10 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_entities(spark: SparkSession, d: str) -> DataFrame:
-    """Problem 5: every spelling with the person or organisation it means."""
+    """Problem 5: every spelling with the person or organisation it means and the score of the rewriting."""
     organisations = reliable(_organisations(spark, d))
-    org = organisations.select(F.lit("org").alias("kind"), "name", "entity")
-    return _persons(spark, d, organisations).select(F.lit("author").alias("kind"), "name", "entity").unionByName(org)
+    org = organisations.select(F.lit("org").alias("kind"), "name", "entity", F.lit(1.0).alias("score"))
+    return _persons(spark, d, organisations).select(F.lit("author").alias("kind"), "name", "entity", F.round("score", 6).alias("score")).unionByName(org)
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
