@@ -6,7 +6,7 @@ entities that share its forms: 1 decides alone; a lower one needs evidence (a co
 
 *Organisations*: tokens are folded, expanded, freed from legal forms and connectors, and sorted; equal token strings are one
 organisation. Spellings whose letters differ by one insertion, deletion, substitution or swap (blanks count nothing) are joined to
-the most frequent one that is used at least ``MISTYPED`` times as often; up to two uses are a slip beside any not rarer one.
+the most frequent one that is used at least ``MISTYPED`` times as often; up to ``SLIPS`` uses are slips beside any not rarer one.
 
 *Persons*: a spelling is parsed into surname, given name and further initials whatever its order. A person is a surname with a full
 given name (and a middle initial where several are in use) and has four forms: with the given name or its initial, and with the middle
@@ -45,6 +45,8 @@ CONNECTORS = frozenset("of for f the and a an in at und fur".split())
 LEGAL_FORMS = frozenset("gmbh mbh gesellschaft inc ltd llc corp co company ag sa bv plc kg limited incorporated corporation branch".split())
 #: A mistyped form is at least so many times rarer than the right one.
 MISTYPED = 3
+#: So many uses of a mistyped organisation are slips beside any not rarer one.
+SLIPS = 5
 _UNDECOMPOSED = str.maketrans({"ø": "o", "ł": "l", "đ": "d", "ı": "i", "æ": "ae", "œ": "oe"})
 _UMLAUT = re.compile(r"([aou])e+")
 
@@ -144,7 +146,8 @@ def _one_edit_udf(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def _spellings(rows: DataFrame, column: str) -> DataFrame:
-    return rows.select(F.col(column).alias("name")).filter(F.length(F.trim("name")) > 0).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+    """(name, n): kept, so that what is computed of a spelling is not pushed below its counting to every mention."""
+    return reliable(rows.select(F.col(column).alias("name")).filter(F.length(F.trim("name")) > 0).groupBy("name").agg(F.count(F.lit(1)).alias("n")))
 
 
 def _near_pairs(nodes: DataFrame, text: str, keep: list[str]) -> DataFrame:
@@ -168,7 +171,7 @@ def organisations(rows: DataFrame, column: str) -> DataFrame:
     about = ["form", "total"]
     near = _near_pairs(nodes, "squash", about).unionByName(_near_pairs(by_form, "squash", about)).select(*[f"{c}_{x}" for c in about for x in "ab"]).distinct()
     # shares of use, which do not grow with the data
-    rarer = f"total_a * {MISTYPED} <= total_b OR total_a <= 2 AND (total_a < total_b OR total_a = total_b AND form_a > form_b)"
+    rarer = f"total_a * {MISTYPED} <= total_b OR total_a <= {SLIPS} AND (total_a < total_b OR total_a = total_b AND form_a > form_b)"
     typed = near.filter(f"form_a <> form_b AND ({rarer})")
     # a rare form goes to one other only: the most frequent one it may stand for
     best = typed.groupBy("form_a").agg(F.max(F.struct("total_b", "form_b")).alias("m")).select(F.col("form_a").alias("a"), F.col("m.form_b").alias("b"))
