@@ -53,13 +53,38 @@ def test_distributed_flow_equals_blocks(spark):
     assert groups(a) == groups(b) == {frozenset(range(100 * g, 100 * g + 8)) for g in range(3)}
 
 
-def test_hot_names_link_their_records(spark, monkeypatch):
-    rows, truth = corpus()
-    monkeypatch.setattr(C, "HOT", 4)
-    monkeypatch.setattr(C, "HOT_HEADS", 3)
-    got = {tuple(r) for r in C.cluster_pairs(C.RecordClusters(spark.createDataFrame(rows, SCHEMA), "uid", ["title", "abstract"], "abstract").assign(), "uid").collect()}
-    want = {(a, b) for a in truth for b in truth if a < b and truth[a] == truth[b]}
-    assert len(got & want) / len(want) > 0.6
+def test_split_steps_give_the_same_flow(spark, monkeypatch):
+    edges = [(0, j, 1.0) for j in range(1, 30)] + [(40, j, 0.9) for j in range(41, 60)] + [(5, 45, 0.4)]
+    df = spark.createDataFrame(edges, "a long, b long, similarity double")
+    whole = sorted((r.node, r.cluster, round(r.flow, 5)) for r in C.sparse_flow(df).collect())
+    monkeypatch.setattr(C, "HOT_STEP", 3)
+    assert whole == sorted((r.node, r.cluster, round(r.flow, 5)) for r in C.sparse_flow(df).collect()) and {c for _, c, _ in whole} == {0, 40}
+
+
+def test_an_unfinished_flow_is_an_error(spark):
+    df = spark.createDataFrame([(i, i + 1, 1.0) for i in range(9)], "a long, b long, similarity double")
+    with pytest.raises(RuntimeError, match="still moves"):
+        C.sparse_flow(df, rounds=1)
+
+
+def test_heads_do_not_depend_on_the_number_of_records(spark):
+    rnd = random.Random(2)
+    word = lambda k: "".join(rnd.choice("bdfgklmnprstvz") + rnd.choice("aeiou") for _ in range(k))
+    closed = [word(3) for _ in range(53)]
+
+    def texts(n):
+        names = [word(5) for _ in range(n // 4)]
+        hot = word(5)
+        for _ in range(n):
+            x = hot if rnd.random() < 1 / 3 else rnd.choice(names)  # one subject in a third of all records
+            yield (f"the {x} cavity {rnd.choice(closed)} serves a {'closed' if rnd.random() < 0.5 else rnd.choice(names)} loop near {rnd.choice(closed)} end",)
+
+    found = []
+    for n in (1500, 15000, 60000):
+        df = spark.createDataFrame(list(texts(n)), "t string").repartition(4).cache()
+        found.append({r.head for r in C.productive_heads(df).collect()})
+        assert found[-1] == {r.head for r in C.productive_heads(df.unionByName(df).unionByName(df)).collect()}
+    assert found == [{"cavity", "loop"}] * 3
 
 
 @pytest.mark.parametrize("rows", [[], [("u1", None, None)], [("u1", "a", "one text alone"), ("u2", "b", "another text")]])

@@ -1,10 +1,12 @@
 """Problem 1: records grouped into clusters of mutually similar ones by Markov clustering.
 
-*Names*. What a record is about are the things that its texts name: a modifier before a *productive head*, a word that follows very many
-different modifiers (a device noun before invented names). Heads are learned from all records by counting, no word list is needed.
+*Names*. What a record is about are the things that its texts name: a modifier before a *productive head*, a word before which ever new
+modifiers stand (a device noun after invented names). Heads are learned from all records by counting, by a measure that does not
+depend on the number of records (``productive_heads``).
 
 *Graph*. Records are joined if they share at least ``SHARED`` names and the cosine of their name sets is at least ``SIMILAR``; a name
-weighs 1, however many records treat its subject. A phrase that names nothing weighs less, down to 0 for one in all records: it is in
+weighs 1, however many records treat its subject, and a record mentions some of its subject's names only, so two records of seven names
+are joined if they share three. A phrase that names nothing weighs less, down to 0 for one in all records: it is in
 more than ``COMMON`` of them, and two nodes that hold it share in the mean fewer than ``ALSO_SHARED`` other names. A pair that shares ``SHARED`` names
 shares one outside each record's ``SHARED - 1`` most frequent names, so only the other ones are joined (prefix filter), and a pair
 is kept at the rarest name that it meets at. Records with the same names are one node. All nodes of a name are compared; those of
@@ -14,7 +16,8 @@ gets all its pairs. The pairs of a subject grow with the square of its different
 *Clusters*. Flow on the graph: the column-stochastic matrix is squared, inflated and freed of small entries until it stays; the row
 to which most of a column's flow goes is its attractor, and columns with one attractor are a cluster. Squaring never crosses a
 connected component, so components of at most ``BLOCK`` nodes are squared as dense blocks, many per task, and larger ones as
-a distributed sparse matrix: a join and a sum per squaring.
+a distributed sparse matrix: a join and a sum per squaring, the entries of a hub spread over tasks. Both give the same clusters; a
+matrix that still moves after ``ROUNDS`` squarings is an error.
 
 Records with null or blank texts have no names and stay alone, as do records without similar ones. Rows of one record are one.
 """
@@ -32,14 +35,20 @@ from pyspark.sql import functions as F
 from topicweave.llm.textform import folded_form
 from topicweave.operators.graph import connected_components, reliable
 
-SHARED, SIMILAR, COMMON, ALSO_SHARED = 3, 0.3, 0.01, 1.0
-#: A head follows at least so many different modifiers, and so many of its uses are new modifiers.
-MIN_MODIFIERS, PRODUCTIVE = 30, 0.15
+SHARED, SIMILAR, COMMON, ALSO_SHARED = 3, 0.4, 0.01, 1.0
+#: What the records of a phrase share else is a mean over at least so many of them; it decides for all tables of over 5,000 records alike.
+FEWEST = 50.0
+#: A head follows at least so many different modifiers, and of ``DRAWS`` of its uses at least this part would be different ones.
+MIN_MODIFIERS, DRAWS, PRODUCTIVE = 40, 200, 0.33
 HOT, HOT_HEADS = 1000, 64
-INFLATION, SMALL, ROUNDS, BLOCK = 2.0, 1e-3, 30, 1500
+INFLATION, SMALL, ROUNDS, BLOCK = 2.0, 1e-3, 60, 1500
+#: A step of the distributed squaring that so many entries meet is split.
+HOT_STEP = 20_000
 #: Heads are sent to the tasks; more are refused.
 MAX_HEADS = 100_000
 
+# Prepositions and auxiliaries, which are no heads.
+NO_HEADS = frozenset("about above across after against along among around before behind below beneath beside between beyond despite during except inside like near off once onto out outside over past since through throughout toward towards under unlike until up upon versus within without can could may might must shall should will would".split())
 # Function words that stand before a noun without naming it.
 PLAIN_MODIFIERS = frozenset("a an the this that these those its their our his her each every both all any no some such same other another of in on at by for with from into as to and or but nor via per using which how what when where than then there here is are was were be been has have had do does did not only also more most less least one two three four five six seven eight nine ten first second third last next new".split())
 _SIGN = re.compile(r"[^\w\s-]+|\n")
@@ -65,7 +74,7 @@ def _count_bigrams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = list(number)
         pairs, n = np.unique(at[:-1] * len(names) + at[1:], return_counts=True)
         good = np.array([_is_modifier(w) for w in names])
-        head = good & np.array([len(w) > 2 for w in names])
+        head = good & np.array([len(w) > 2 and w not in NO_HEADS for w in names])
         left, right = pairs // len(names), pairs % len(names)
         keep = good[left] & head[right]
         if keep.any():
@@ -73,11 +82,26 @@ def _count_bigrams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def productive_heads(texts: DataFrame) -> DataFrame:
-    """(head, modifiers, uses): words that follow at least ``MIN_MODIFIERS`` different modifiers and ever new ones."""
+    """(head, modifiers, uses): words before which ever new modifiers stand, by counts over all texts.
+
+    The most frequent modifier of a word is left out (a set phrase, or a subject that very many records treat). Of the others, the
+    expected number of different ones among ``DRAWS`` random uses decides: Σ 1 - (1 - n/N)^DRAWS over modifiers of n of N uses.
+    It depends on the shares of the modifiers and not on the size of the corpus, nor on how often records are delivered; the part
+    of new modifiers among all uses, in contrast, sinks with every record. A word used more rarely is drawn as often as it is used.
+    """
     pairs = texts.mapInPandas(_count_bigrams, "head string, modifier string, n long")
     pairs = pairs.groupBy("head", F.xxhash64("modifier").alias("modifier")).agg(F.sum("n").alias("n"))
-    heads = pairs.groupBy("head").agg(F.count(F.lit(1)).alias("modifiers"), F.sum("n").alias("uses"))
-    return heads.filter((F.col("modifiers") >= MIN_MODIFIERS) & (F.col("modifiers") >= PRODUCTIVE * F.col("uses")))
+    # modifiers of equal counts are one row: a word has few different counts
+    counts = pairs.groupBy("head", "n").agg(F.count(F.lit(1)).cast("double").alias("k"))
+    every = counts.groupBy("head").agg(F.max("n").alias("top"), F.sum("k").alias("modifiers"), F.sum(F.col("n") * F.col("k")).alias("uses"))
+    counts = counts.join(every.filter(F.col("modifiers") > MIN_MODIFIERS), "head")
+    k = F.when(F.col("n") == F.col("top"), F.col("k") - 1).otherwise(F.col("k"))
+    rest = F.col("uses") - F.col("top")
+    draws = F.least(F.lit(float(DRAWS)), rest)
+    new = k * (1.0 - F.pow(1.0 - F.col("n") / rest, draws))
+    heads = counts.filter(rest > 0).groupBy("head", "modifiers", "uses", "top").agg(F.sum(new).alias("new"))
+    heads = heads.filter(F.col("new") >= PRODUCTIVE * F.least(F.lit(float(DRAWS)), F.col("uses") - F.col("top")))
+    return heads.select("head", F.col("modifiers").cast("long").alias("modifiers"), F.col("uses").cast("long").alias("uses"))
 
 
 def record_names(rows: DataFrame, record: str, fields: list[str], heads: set[str]) -> DataFrame:
@@ -125,7 +149,7 @@ class RecordClusters:
         # nodes decide what is joined, records what is common
         df = named.groupBy("name").agg(F.count(F.lit(1)).alias("df"), F.sum("copies").alias("records"))
         total = members.count()
-        common = max(COMMON * total, 50.0)
+        common = max(COMMON * total, FEWEST)
         # a common name counts less only if the nodes that hold it have little else in common
         of_common = named.join(df.filter(F.col("records") > common).select("name"), "name").select("node", F.col("name").alias("common"))
         met = of_common.join(named, "node").filter(F.col("name") != F.col("common")).groupBy("common", "name").agg(F.count(F.lit(1)).cast("double").alias("c"))
@@ -182,6 +206,8 @@ def _dense_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 m /= m.sum(axis=0)
                 if np.abs(m - last).max() < 1e-4:
                     break
+            else:
+                raise RuntimeError(f"the flow of {n} nodes still moves after {ROUNDS} squarings")
             to = m.argmax(axis=0)
             out.append(pd.DataFrame({"node": ids, "cluster": ids[to], "flow": m[to, np.arange(n)].astype(float)}))
         if out:
@@ -205,12 +231,18 @@ def sparse_flow(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     for _ in range(rounds):
         right = m.select(F.col("row").alias("k"), "col", F.col("x").alias("y"))
         left = m.select("row", F.col("col").alias("k"), "x")
-        squared = left.join(right, "k").groupBy("row", "col").agg(F.sum(F.col("x") * F.col("y")).alias("x"))
+        hubs = right.groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT_STEP).select("k", F.ceil(F.col("n") / HOT_STEP).cast("int").alias("parts"))
+        parts = F.coalesce("parts", F.lit(1))
+        right = right.join(hubs, "k", "left").select("k", "col", "y", F.pmod(F.xxhash64("col"), parts).cast("int").alias("part"))
+        left = left.join(hubs, "k", "left").select("row", "k", "x", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+        squared = left.join(right, ["k", "part"]).groupBy("row", "col").agg(F.sum(F.col("x") * F.col("y")).alias("x"))
         new = reliable(_columns(squared.withColumn("x", F.pow("x", F.lit(INFLATION)))))
         moved = new.withColumnRenamed("x", "n").join(m, ["row", "col"], "full").agg(F.max(F.abs(F.coalesce("n", F.lit(0.0)) - F.coalesce("x", F.lit(0.0))))).first()[0]
         m = new
         if moved is None or moved < 1e-4:
             break
+    else:
+        raise RuntimeError(f"the flow still moves after {rounds} squarings")
     best = m.groupBy("col").agg(F.max(F.struct("x", "row")).alias("m"))
     return best.select(F.col("col").alias("node"), F.col("m.row").alias("cluster"), F.col("m.x").alias("flow"))
 
