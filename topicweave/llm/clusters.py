@@ -52,11 +52,14 @@ NO_HEADS = frozenset("about above across after against along among around before
 # Function words that stand before a noun without naming it.
 PLAIN_MODIFIERS = frozenset("a an the this that these those its their our his her each every both all any no some such same other another of in on at by for with from into as to and or but nor via per using which how what when where than then there here is are was were be been has have had do does did not only also more most less least one two three four five six seven eight nine ten first second third last next new".split())
 _SIGN = re.compile(r"[^\w\s-]+|\n")
+_ASCII_SIGNS = {c: "\n" for c in range(128) if _SIGN.match(chr(c))}
 
 
 def _tokens(text: str) -> list[str]:
-    """Words and, for every run of signs or line break between them, a full stop; folded."""
-    return _SIGN.sub(" . ", text.lower() if text.isascii() else folded_form(text)).split()
+    """Words and, for every sign or line break between them, a full stop; folded."""
+    if text.isascii():
+        return text.lower().translate(_ASCII_SIGNS).replace("\n", " . ").split()
+    return _SIGN.sub(" . ", folded_form(text)).split()
 
 
 def _is_modifier(word: str) -> bool:
@@ -144,25 +147,25 @@ class RecordClusters:
 
     def edges(self, members: DataFrame) -> DataFrame:
         """(a, b, similarity) of similar nodes, a < b."""
-        nodes = members.groupBy("node").agg(F.first("names").alias("names"), F.count(F.lit(1)).alias("copies"))
-        named = nodes.select("node", "copies", F.explode("names").alias("name"))
+        nodes = reliable(members.groupBy("node").agg(F.first("names").alias("names"), F.count(F.lit(1)).alias("copies")))
+        named = nodes.select("node", "copies", "names", F.explode("names").alias("name"))
         # nodes decide what is joined, records what is common
         df = named.groupBy("name").agg(F.count(F.lit(1)).alias("df"), F.sum("copies").alias("records"))
+        df = reliable(df.filter("df > 1"))  # a name of one node links nothing and weighs 1
         total = members.count()
         common = max(COMMON * total, FEWEST)
-        # a common name counts less only if the nodes that hold it have little else in common
-        of_common = named.join(df.filter(F.col("records") > common).select("name"), "name").select("node", F.col("name").alias("common"))
-        met = of_common.join(named, "node").filter(F.col("name") != F.col("common")).groupBy("common", "name").agg(F.count(F.lit(1)).cast("double").alias("c"))
+        # a common name counts less only if the nodes that hold it have little else in common; there are few, so their nodes bring their names along
+        met = named.join(df.filter(F.col("records") > common).select("name"), "name").select(F.col("name").alias("common"), F.explode("names").alias("name"))
+        met = met.filter(F.col("name") != F.col("common")).groupBy("common", "name").agg(F.count(F.lit(1)).cast("double").alias("c"))
         shared = met.groupBy(F.col("common").alias("name")).agg(F.sum(F.col("c") * (F.col("c") - 1)).alias("shared"))
         df = df.join(shared, "name", "left")
-        phrase = (F.col("records") > common) & (F.col("df") > 1) & (F.coalesce("shared", F.lit(0.0)) < ALSO_SHARED * F.col("df") * (F.col("df") - 1.0))
+        phrase = (F.col("records") > common) & (F.coalesce("shared", F.lit(0.0)) < ALSO_SHARED * F.col("df") * (F.col("df") - 1.0))
         weight = F.when(phrase, F.log(total / F.col("records")) / np.log(max(total / common, 1.0001))).otherwise(1.0)
-        named = named.select("node", "name").join(df, "name").withColumn("w", F.greatest(F.lit(0.0), weight))
-        # rarest first; a name of one node links nothing but counts in the norm
+        named = named.select("node", "name", F.size("names").alias("k")).join(df, "name").withColumn("w", F.greatest(F.lit(0.0), weight))
+        # rarest first; the names of one node alone count in the norm
         entry = F.struct("df", "name", "w")
-        sets = named.groupBy("node").agg(F.sort_array(F.collect_list(entry)).alias("all"))
-        sets = sets.withColumn("norm", F.aggregate("all", F.lit(0.0), lambda s, x: s + x["w"] * x["w"]))
-        sets = sets.withColumn("set", F.filter("all", lambda x: x["df"] > 1)).filter(F.size("set") >= SHARED)
+        sets = named.groupBy("node", "k").agg(F.sort_array(F.collect_list(entry)).alias("set")).filter(F.size("set") >= SHARED)
+        sets = sets.withColumn("norm", F.aggregate("set", (F.col("k") - F.size("set")).cast("double"), lambda s, x: s + x["w"] * x["w"]))
         sets = sets.select("node", "norm", F.transform("set", lambda x: x["name"]).alias("ids"), F.transform("set", lambda x: x["w"]).alias("ws"), F.transform("set", lambda x: x["df"]).alias("dfs"))
         sets = sets.withColumn("indexed", F.arrays_zip("ids", "dfs")).withColumn("indexed", F.slice("indexed", F.lit(1), F.size("indexed") - (SHARED - 1)))
         post = sets.select("node", "norm", "ids", "ws", F.explode("indexed").alias("at")).select("node", "norm", "ids", "ws", F.col("at.ids").alias("name"), F.col("at.dfs").alias("df"))
