@@ -51,15 +51,23 @@ MAX_HEADS = 100_000
 NO_HEADS = frozenset("about above across after against along among around before behind below beneath beside between beyond despite during except inside like near off once onto out outside over past since through throughout toward towards under unlike until up upon versus within without can could may might must shall should will would".split())
 # Function words that stand before a noun without naming it.
 PLAIN_MODIFIERS = frozenset("a an the this that these those its their our his her each every both all any no some such same other another of in on at by for with from into as to and or but nor via per using which how what when where than then there here is are was were be been has have had do does did not only also more most less least one two three four five six seven eight nine ten first second third last next new".split())
-_SIGN = re.compile(r"[^\w\s-]+|\n")
-_ASCII_SIGNS = {c: "\n" for c in range(128) if _SIGN.match(chr(c))}
+_BEYOND = re.compile(r"[^\x00-\x7f]")
+_ASCII_SIGNS = bytes(ord("\n") if c < 128 and re.match(r"[^\w\s-]", chr(c)) else c for c in range(256))
+
+
+def _letter_or_break(m: re.Match) -> str:
+    c = m[0]
+    return c if c.isalnum() or c.isspace() else "\n"
+
+
 
 
 def _tokens(text: str) -> list[str]:
     """Words and, for every sign or line break between them, a full stop; folded."""
-    if text.isascii():
-        return text.lower().translate(_ASCII_SIGNS).replace("\n", " . ").split()
-    return _SIGN.sub(" . ", folded_form(text)).split()
+    if not text.isascii():
+        text = _BEYOND.sub(_letter_or_break, folded_form(text))
+        return text.encode().translate(_ASCII_SIGNS).decode().replace("\n", " . ").split()
+    return text.encode().lower().translate(_ASCII_SIGNS).decode().replace("\n", " . ").split()
 
 
 def _is_modifier(word: str) -> bool:

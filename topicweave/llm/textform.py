@@ -52,7 +52,6 @@ _GREEK = re.compile(f"[{LOOK_ALIKES_IN_WORDS[0]}]")
 _MIXED_WORD = re.compile(r"[^\W\d_]*(?:[a-zA-Z][^\W\d_]*[%s]|[%s][^\W\d_]*[a-zA-Z])[^\W\d_]*" % (LOOK_ALIKES_IN_WORDS[0], LOOK_ALIKES_IN_WORDS[0]))
 _ALIKE = {ord(a): b for left, right in LOOK_ALIKES for a, b in zip(left, right, strict=True)}
 _BLANKS = re.compile(r"  +")
-_EDGES = re.compile(r" ?\n ?")
 #: Characters that may have to be mapped; the others of a text are never looked at one by one.
 _SPECIAL = re.compile(r"[^\n\x20-\x7e]")
 
@@ -105,7 +104,7 @@ def visible_form(text: str | None) -> str | None:
         text = unicodedata.normalize("NFC", text)
     if "  " in text:
         text = _BLANKS.sub(" ", text)
-    return (_EDGES.sub("\n", text) if "\n" in text else text).strip()
+    return text.replace(" \n", "\n").replace("\n ", "\n").strip()
 
 
 def folded_form(text: str | None) -> str | None:
