@@ -113,25 +113,28 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixture.mixture_report(mixture.mix_sources(sized, "doc_id", "source", targets), sized, "source", targets)
 
 
-def _levels(spark: SparkSession, d: str, docs: DataFrame, min_pieces: int) -> DataFrame:
-    model = reading.fit_graded(_table(spark, d, "reading_samples"), "text", "band")
-    return reading.reading_levels(docs, "doc_id", "text", model, min_pieces)
+def _model(spark: SparkSession, d: str) -> reading.ReadingModel:
+    return reading.fit_graded(_table(spark, d, "reading_samples"), "text", "band")
+
+
+def _all_levels(spark: SparkSession, d: str) -> DataFrame:
+    return reading.levels_by_language(_table(spark, d, "documents"), "doc_id", "text", "lang", "en", _model(spark, d))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     """Problem 8: the band of every English document of at least 100 pieces."""
-    return _levels(spark, d, _table(spark, d, "documents").filter("lang = 'en'"), 100).select("doc_id", "band")
+    return reading.reading_levels(_table(spark, d, "documents").filter("lang = 'en'"), "doc_id", "text", _model(spark, d), 100).select("doc_id", "band")
 
 
 def p8_levels(spark: SparkSession, d: str) -> DataFrame:
-    """Problem 8: a level for every document that has words, with its score."""
-    return _levels(spark, d, _table(spark, d, "documents"), 1).select("doc_id", "band", F.round("score", 6).alias("score"))
+    """Problem 8: a level for every document that has words, with its score and what it rests on."""
+    return _all_levels(spark, d).select("doc_id", "band", F.round("score", 6).alias("score"), "basis")
 
 
 def p8_sources(spark: SparkSession, d: str) -> DataFrame:
     """Problem 8: documents of each level by source."""
-    levels = _levels(spark, d, _table(spark, d, "documents"), 1).select("doc_id", "band")
-    return _table(spark, d, "documents").select("doc_id", "source").join(levels, "doc_id").groupBy("source", "band").agg(F.count(F.lit(1)).alias("documents"))
+    levels = _all_levels(spark, d).select("doc_id", "band", "basis")
+    return _table(spark, d, "documents").select("doc_id", "source").join(levels, "doc_id").groupBy("source", "band", "basis").agg(F.count(F.lit(1)).alias("documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
