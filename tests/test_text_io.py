@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from topicweave.functions import lexicon as L
 from topicweave.functions import text as T
 from topicweave.plans import prepare as R
 from topicweave.sources import io
@@ -16,11 +17,13 @@ from topicweave.streaming import yearly
         ("Text. © 2015 Press. All rights reserved.", "Text."),
         ("a b\u001cc", "a b c"),
         ("", ""),
-        (None, None),
+        (None, ""),
+        ("ﬁne １ ² ; end .", "fine 1 2; end."),
+        ("Two lines .\n\u00a9 2015 Press", "Two lines."),
     ],
 )
 def test_clean(spark, raw, want):
-    assert spark.createDataFrame([(raw,)], "t string").select(T.clean_text(F.col("t"))).first()[0] == want
+    assert spark.createDataFrame([(raw,)], "t string").select(T.cleaned(F.col("t"))).first()[0] == want
 
 
 @pytest.mark.parametrize(("raw", "want"), [("early access article|review", "review"), ("early access article", "early access article"), ("", None), (None, None)])
@@ -52,9 +55,34 @@ def test_delivery_and_edges(spark, tmp_path):
 
 
 def test_ratings(spark, tmp_path):
-    (tmp_path / "r.csv").write_text("nr;satz;bewertung\n1;x;3\n2;y;4,5\n3;z;\n4;w;9\n")
+    (tmp_path / "r.csv").write_text("nr;satz;rating\n1;no nr here;3\n2;y;4,5\n3;z;\n4;w;9\n;;\n5;v;x\n6;u;6,0\n")
     got = io.read_ratings(spark, str(tmp_path / "r.csv")).orderBy("nr").collect()
-    assert [(r.nr, r.rating, r.valid) for r in got] == [(1, 3.0, True), (2, 4.5, False), (3, None, False), (4, 9.0, False)]
+    assert [tuple(r) for r in got] == [(1, 3, "valid"), (2, None, "invalid"), (3, None, "empty"), (4, None, "invalid"), (5, None, "invalid"), (6, 6, "valid")]
+    with pytest.raises(ValueError):
+        io.read_ratings(spark, str(tmp_path / "r.csv"), rating="absent")
+
+
+def test_sentence_lines_and_lexicon(spark, tmp_path):
+    (tmp_path / "s.jsonl").write_text('{"doc": "a", "parts": ["One.", "Two."]}\n{"doc": "b", "parts": []}\n')
+    assert [tuple(r) for r in io.read_sentences(spark, str(tmp_path / "s.jsonl"), "parts").collect()] == [("a", 0, "One."), ("a", 1, "Two.")]
+    (tmp_path / "l.json").write_text('{"hedges": ["may", "in general"],\n "boosters": ["must"]}')
+    lex = io.read_lexicon(spark, str(tmp_path / "l.json")).collect()
+    by = {k: [r.phrase for r in lex if r.kind == k] for k in ("hedges", "boosters")}
+    df = spark.createDataFrame([("In general, it may be so. It must not, in general may.",), ("",), (None,)], "t string")
+    got = df.select(L.hedge_counts(F.col("t"), by["hedges"], by["boosters"]).alias("c")).collect()
+    assert tuple(got[0].c) == (4, 1, 12) and tuple(got[1].c) == (0, 0, 0) and got[2].c is None
+
+
+def test_phrase_words_do_not_count_twice(spark):
+    df = spark.createDataFrame([("To a certain extent it is certain. Of course, without doubt.",)], "t string")
+    assert tuple(df.select(L.hedge_counts(F.col("t")).alias("c")).first().c) == (1, 3, 11)
+
+
+def test_digest_ignores_order(spark):
+    a = spark.createDataFrame([(1, "x"), (2, None), (2, None)], "n int, s string")
+    same, other = a.orderBy("n", ascending=False).select("s", "n"), a.distinct()
+    d = lambda df: io.table_digest(df).first().digest
+    assert d(a) == d(same) != d(other) and io.table_digest(a.limit(0)).first().rows == 0
 
 
 def test_sinks(spark, tmp_path):
@@ -92,3 +120,10 @@ def test_late_deliveries_in_stream(spark, tmp_path):
     q = yearly.yearly_counts(s).writeStream.outputMode("complete").format("memory").queryName("late").trigger(availableNow=True).start()
     q.awaitTermination()
     assert [tuple(r) for r in spark.table("late").collect()] == [(1, 3, 2010, 2)]
+
+
+def test_packed_entries_lose_blanks_and_keep_digits(spark):
+    df = spark.createDataFrame([(" 0 zero | 1 one|2 two |",)], "t string")
+    assert tuple(df.select(T.packed_list(F.col("t")), T.clean_doctype(F.col("t"))).first()) == ("0 zero; 1 one; 2 two", "0 zero")
+    refs = spark.createDataFrame([("Kay A, 2010 , J Phys, V1, DOI 10.1/AB",), ("1 Kay , 2011, 2 Two , x",), (None,)], "t string")
+    assert [r[0] for r in refs.select(T.reference_key(F.col("t"))).collect()] == ["10.1/ab", "1 KAY, 2011, 2 TWO", None]

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Python's white space (Java's \s lacks most of it).
 BLANK = r"[\s\x1c-\x1f\x85\p{Z}]+"
@@ -22,27 +27,44 @@ COUNTRY_ALIASES = {
 }
 
 
-def strip_latex(c: Column) -> Column:
+def without_formulas(c: Column) -> Column:
     for p in LATEX:
         c = F.regexp_replace(c, p, " ")
     return c
 
 
-def strip_html(c: Column) -> Column:
+def without_tags(c: Column) -> Column:
     return F.regexp_replace(c, HTML, " ")
 
 
-def strip_copyright(c: Column) -> Column:
-    return F.regexp_replace(c, COPYRIGHT, " ")
+def without_copyright(c: Column) -> Column:
+    return F.rtrim(F.regexp_replace(c, COPYRIGHT, ""))
+
+
+@F.pandas_udf(StringType())
+def _compatible(values: pd.Series) -> pd.Series:
+    known = {v: unicodedata.normalize("NFKC", v) for v in values.dropna().unique()}
+    return values.map(known).astype(object).where(values.notna(), None)
+
+
+def compatible(c: Column) -> Column:
+    """S5f: compatibility composed form; plain ASCII never leaves the JVM."""
+    return F.coalesce(_compatible(F.when(c.rlike(r"[^\x00-\x7f]"), c)), c)
 
 
 def collapse_blanks(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, BLANK, " "))
 
 
-def clean_text(c: Column) -> Column:
-    """S1f: markup, formulas and copyright tails out, blanks collapsed."""
-    return collapse_blanks(strip_copyright(strip_html(strip_latex(c))))
+def tidy_blanks(c: Column) -> Column:
+    """S5f: blanks collapsed and none before a punctuation mark."""
+    return F.trim(F.regexp_replace(F.regexp_replace(c, BLANK, " "), r" +([,.;:!?])", "$1"))
+
+
+def cleaned(c: Column) -> Column:
+    """S1f: compatible characters, markup, formulas and copyright tails out, blanks tidied; null gives ''."""
+    c = F.coalesce(c, F.lit(""))
+    return tidy_blanks(without_copyright(without_tags(without_formulas(compatible(c)))))
 
 
 def topic_text(title: Column, abstract: Column) -> Column:
@@ -57,14 +79,14 @@ def word_count(c: Column) -> Column:
 
 def clean_doctype(c: Column) -> Column:
     """S8f: the first packed type that is not 'early access article', else the first."""
-    parts = F.filter(F.transform(F.split(c, r"\|"), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(c, r"\|"), lambda x: F.trim(x)), lambda x: x != "")
     other = F.filter(parts, lambda x: F.lower(x) != "early access article")
     return F.coalesce(F.get(other, F.lit(0)), F.get(parts, F.lit(0)))
 
 
 def packed_list(c: Column, sep: str = r"[|]", out: str = "; ") -> Column:
     """S9f: the non-empty entries of a packed field, joined by ``out``."""
-    return F.array_join(F.filter(F.transform(F.split(c, sep), F.trim), lambda x: x != ""), out)
+    return F.array_join(F.filter(F.transform(F.split(c, sep), lambda x: F.trim(x)), lambda x: x != ""), out)
 
 
 def normalise_country(c: Column) -> Column:
@@ -77,7 +99,7 @@ def normalise_country(c: Column) -> Column:
 def reference_key(c: Column) -> Column:
     """S14f: the DOI of a cited reference in lower case, else its first three comma parts."""
     doi = F.lower(F.regexp_extract(c, r"(?i)DOI\s+(10\.\S+)", 1))
-    return F.when(doi != "", doi).otherwise(F.upper(F.array_join(F.slice(F.transform(F.split(c, ","), F.trim), 1, 3), ", ")))
+    return F.when(doi != "", doi).otherwise(F.upper(F.array_join(F.slice(F.transform(F.split(c, ","), lambda x: F.trim(x)), 1, 3), ", ")))
 
 
 def present(c: Column) -> Column:
@@ -86,12 +108,15 @@ def present(c: Column) -> Column:
 
 
 def sentences(c: Column) -> Column:
-    """S15f: sentences of a text; a listed abbreviation does not end one."""
-    shield, c = "\u0001", collapse_blanks(c)
-    for a in ABBREVIATIONS:
-        c = F.replace(c, F.lit(a), F.lit(a.replace(".", shield)))
-    parts = F.split(F.regexp_replace(c, r"([.!?])\s+(?=[A-Z0-9(\[])", "$1\u0002"), "\u0002")
-    return F.filter(F.transform(parts, lambda x: F.trim(F.replace(x, F.lit(shield), F.lit(".")))), lambda x: x != "")
+    """S15f: sentences of a text. A piece ends at . ! ? before a capital, a digit or an opening bracket; pieces after one that ends in a
+    listed abbreviation are joined to it again."""
+    pieces = F.split(collapse_blanks(c), r"(?<=[.!?])\s+(?=[A-Z0-9(\[])")
+    open_end = "(?:" + "|".join(re.escape(a) for a in ABBREVIATIONS) + ")$"
+    last = lambda acc: F.element_at(acc, -1)
+    goes_on = lambda acc: (F.size(acc) > 0) & F.coalesce(F.get(acc, F.size(acc) - 1), F.lit("")).rlike(open_end)
+    joined = lambda acc, x: F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.concat_ws(" ", last(acc), x)))
+    merged = F.aggregate(pieces, F.array().cast("array<string>"), lambda acc, x: F.when(goes_on(acc), joined(acc, x)).otherwise(F.array_append(acc, x)))
+    return F.filter(merged, lambda x: x != "")
 
 
 def is_finding(c: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from topicweave.functions.lexicon import hedge_counts
 from topicweave.operators import kernels as K
 from topicweave.operators.indicators import KEYS, LAST_YEAR, citation_rate, is_review, topics
 
@@ -64,27 +65,32 @@ def length_adjusted_incoherence(vectors: DataFrame, deciles: int = 10) -> DataFr
     return e.join(o, KEYS).select(*KEYS, (F.col("e") / (F.col("n") * (F.col("n") - 1.0)) - F.col("o")).alias("eo3_a1"))
 
 
-def hedge_density(pub: DataFrame, hedges: list[str], least_words: int = 20) -> DataFrame:
-    """Mean of 1000 · hedges / words over abstracts of at least ``least_words`` words; of phrases the longest match counts."""
-    import re
+def hedge_density(pub: DataFrame, text: str = "abstract", hedges: list[str] | None = None, boosters: list[str] | None = None, least_words: int = 20) -> DataFrame:
+    """(phase, topic, eo4_a2, booster): means of 1000 · hedges / words and of 1000 · boosters / words over texts of at least
+    ``least_words`` words. The lists default to the published ones; ``io.read_lexicon`` reads others."""
+    c = topics(pub).select(*KEYS, hedge_counts(F.col(text), hedges, boosters).alias("c")).select(*KEYS, "c.*").filter(F.col("words") >= least_words)
+    return c.groupBy(*KEYS).agg(F.avg(1000.0 * F.col("hedges") / F.col("words")).alias("eo4_a2"), F.avg(1000.0 * F.col("boosters") / F.col("words")).alias("booster"))
 
-    pattern = re.compile(r"\b(?:" + "|".join(sorted((re.escape(h) for h in hedges), key=len, reverse=True)) + r")\b")
 
-    @F.pandas_udf(T.DoubleType())
-    def density(texts: pd.Series) -> pd.Series:
-        def one(t: str | None) -> float | None:
-            n = len(t.split()) if t else 0
-            return 1000.0 * len(pattern.findall(t.lower())) / n if n >= least_words else None
+def finding_scores(sents: DataFrame) -> DataFrame:
+    """(phase, topic, eo4_a1, eo4_a1r, eo4_a1b, eo4_a1rb) from scored sentences (keys, uid, nr, finding, score, notice).
 
-        return texts.map(one)
+    ``score`` is the certainty that a model gave a sentence, an input here. A1: minus the mean score of a record's finding sentences,
+    of its last sentence if it has none; A1R: minus the mean of all its sentences; A1B and A1RB: the same without
+    sentences marked as publisher's ``notice``. Topics are means over records.
+    """
+    own = ~F.col("notice")
+    mean = lambda cond: F.avg(F.when(cond, F.col("score")))
+    last = lambda cond: F.max_by(F.when(cond, F.col("score")), F.when(cond, F.col("nr")))
+    d = sents.groupBy(*KEYS, "uid").agg(
+        F.coalesce(mean(F.col("finding")), last(F.lit(True))).alias("a1"), F.avg("score").alias("a1r"), F.coalesce(mean(F.col("finding") & own), last(own)).alias("a1b"), mean(own).alias("a1rb"))
+    return d.groupBy(*KEYS).agg(*[(-F.avg(c)).alias(f"eo4_{c}") for c in ("a1", "a1r", "a1b", "a1rb")])
 
-    return topics(pub).select(*KEYS, density("abstract").alias("h")).groupBy(*KEYS).agg(F.avg("h").alias("eo4_a2"))
 
-
-def finding_scores(sents: DataFrame) -> DataFrame:
-    """Minus the mean score of a record's finding sentences, of its last sentence if it has none; mean over the topic."""
-    d = sents.groupBy(*KEYS, "uid").agg(F.avg(F.when(F.col("finding"), F.col("score"))).alias("f"), F.max_by("score", "nr").alias("last"))
-    return d.groupBy(*KEYS).agg((-F.avg(F.coalesce("f", "last"))).alias("eo4_a1"))
+def combined_certainty(a1: DataFrame, a2: DataFrame) -> DataFrame:
+    """C8 EO4_R3: mean of the z-scores (population, within the phase) of EO4_A1 and EO4_A2 over topics that have both."""
+    j = a1.join(a2, KEYS).filter("eo4_a1 IS NOT NULL AND eo4_a2 IS NOT NULL")
+    return j.select(*KEYS, ((K.zscore("eo4_a1", ["phase"]) + K.zscore("eo4_a2", ["phase"])) / 2.0).alias("eo4_r3"))
 
 
 def semantic_diversity(words: DataFrame, vectors: DataFrame, least_docs: int = 20, floor: float = 0.001, least_words: int = 5) -> DataFrame:
@@ -294,11 +300,22 @@ def percentile_momentum(pub: DataFrame, cohort_from: int = 2020) -> DataFrame:
 
 
 def kendall(pub: DataFrame) -> DataFrame:
-    """C20 IP2_A4: Kendall's τ_b of year and percentile, from counts of (year, percentile) cells, never from pairs of records."""
+    """C20 IP2_A4: Kendall's τ_b of year and percentile.
+
+    Never from pairs of records: records are counted by (year, percentile), and for every pair of years, a few hundred at most, a
+    window over the percentiles of both gives the concordant and discordant pairs from running sums, so the work grows with the
+    number of cells times years and not with its square.
+    """
     p = topics(yearly_percentiles(pub)).withColumn("pct", F.round("pct", 9))
     c = p.groupBy(*KEYS, "year", "pct").agg(F.count(F.lit(1)).alias("k"))
-    b = c.select(*KEYS, F.col("year").alias("y2"), F.col("pct").alias("p2"), F.col("k").alias("k2"))
-    s = c.join(b, KEYS).filter("year < y2").groupBy(*KEYS).agg(F.sum(F.signum(F.col("p2") - F.col("pct")) * F.col("k") * F.col("k2")).alias("s"))
+    years = c.select(*KEYS, "year").distinct()
+    pairs = years.join(years.select(*KEYS, F.col("year").alias("y2")), KEYS).filter("year < y2").select(*KEYS, "year", "y2")
+    early = pairs.join(c, [*KEYS, "year"]).select(*KEYS, "year", "y2", "pct", F.col("k").alias("a"), F.lit(0).alias("b"))
+    late = pairs.join(c.withColumnRenamed("year", "y2"), [*KEYS, "y2"]).select(*KEYS, "year", "y2", "pct", F.lit(0).alias("a"), F.col("k").alias("b"))
+    both = early.unionByName(late).groupBy(*KEYS, "year", "y2", "pct").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    w = Window.partitionBy(*KEYS, "year", "y2").orderBy("pct").rowsBetween(Window.unboundedPreceding, -1)
+    below = both.select(*KEYS, (F.col("b") * F.coalesce(F.sum("a").over(w), F.lit(0))).alias("up"), (F.col("a") * F.coalesce(F.sum("b").over(w), F.lit(0))).alias("down"))
+    s = below.groupBy(*KEYS).agg(F.sum(F.col("up") - F.col("down")).cast("double").alias("s"))
     tie = lambda col: c.groupBy(*KEYS, col).agg(F.sum("k").alias("k")).groupBy(*KEYS).agg(F.sum(F.col("k") * (F.col("k") - 1) / 2.0).alias(f"t_{col}"), F.sum("k").alias("n"))
     t = tie("year").join(tie("pct").drop("n"), KEYS).join(s, KEYS, "left")
     all_pairs = F.col("n") * (F.col("n") - 1) / 2.0

@@ -6,6 +6,10 @@ fallbacks; noise (topic -1) is left out where a topic is asked for and kept wher
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,28 +90,76 @@ def relative_proportion(tem: DataFrame) -> DataFrame:
     return K.avg_rank(tem, ["phase"], "avg_share").join(n, "phase").select(*KEYS, (1.0 - F.col("rank") / F.col("topics")).alias("pe1"))
 
 
+#: Topics whose centroids are sent to the tasks; more are refused. A distance falls into one of ``CELLS`` cells a unit.
+MAX_TOPICS, CELLS = 100_000, 4096
+
+
 def noise_ratio(vectors: DataFrame) -> DataFrame:
-    """A5 PE2 (join J15): share of noise among the min(2n, N) records nearest to the topic's centroid; 0.5 below 3 records.
+    """A5 PE2 (join J15): share of noise among the min(2n, N) records nearest to the topic's centroid; 0.5 below 3 records."""
+    near = nearest_to_centroids(vectors, lambda n, corpus: F.least(2 * n, corpus))
+    return near.select(*KEYS, F.when(F.col("n") < 3, F.lit(0.5)).otherwise(F.col("noise")).alias("pe2"))
+
 
-    Centroids are one row per topic, so the join is records x topics. The radius of the k nearest is found on counts by
-    distance, not by sorting all distances of a topic in one task: distances are cut into cells, the cell that holds the k-th
-    is known from cumulated counts, and only its rows are ranked.
+def nearest_to_centroids(vectors: DataFrame, how_many) -> DataFrame:
+    """(phase, topic, n, noise): the share of noise among the ``how_many(n, corpus)`` records nearest to the topic's centroid.
+
+    Records meet centroids in the task that reads them, so distances, as many as records times topics, are never moved. A first
+    pass sends counts by cell of distance, from which the cell that holds the k-th nearest is known; a second one sends the
+    counts of nearer cells and, of that cell alone, the rows, which are ranked by distance and ``uid``. Centroids and cells
+    are a row per topic, at most ``MAX_TOPICS``.
     """
     per = topics(vectors).select(*KEYS, F.posexplode("embedding").alias("dim", "x")).groupBy(*KEYS, "dim").agg(F.avg(F.col("x").cast("double")).alias("m"), F.count(F.lit(1)).alias("n"))
     cent = per.groupBy(*KEYS).agg(F.transform(F.sort_array(F.collect_list(F.struct("dim", "m"))), lambda s: s["m"]).alias("centroid"), F.max("n").alias("n"))
     total = vectors.groupBy("phase").agg(F.count(F.lit(1)).alias("corpus"))
-    cent = cent.join(total, "phase").withColumn("k", F.least(2 * F.col("n"), F.col("corpus")))
-    v = vectors.select("phase", "uid", F.col("topic").alias("own"), F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    d = v.join(cent, "phase").withColumn("d", F.sqrt(F.aggregate(F.zip_with("v", "centroid", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)))
-    d = d.select(*KEYS, "n", "k", "uid", "own", F.round("d", 9).alias("d")).withColumn("cell", F.floor(F.col("d") * 4096))
-    cells = d.groupBy(*KEYS, "cell").agg(F.count(F.lit(1)).alias("c"))
-    before = F.coalesce(F.sum("c").over(Window.partitionBy(*KEYS).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    d = d.join(cells.withColumn("before", before), [*KEYS, "cell"])
-    sure = d.filter("before + c <= k")
-    edge = d.filter("before < k AND before + c > k").withColumn("r", F.row_number().over(Window.partitionBy(*KEYS, "cell").orderBy("d", "uid"))).filter("before + r <= k").drop("r")
-    near = sure.unionByName(edge)
-    r = near.groupBy(*KEYS, "n").agg(F.avg((F.col("own") < 0).cast("double")).alias("r"))
-    return r.select(*KEYS, F.when(F.col("n") < 3, F.lit(0.5)).otherwise(F.col("r")).alias("pe2"))
+    rows = cent.join(total, "phase").withColumn("k", how_many(F.col("n"), F.col("corpus"))).limit(MAX_TOPICS + 1).collect()
+    if len(rows) > MAX_TOPICS:
+        raise ValueError(f"more than {MAX_TOPICS} topics")
+    by_phase: dict[int, list] = {}
+    for r in rows:
+        by_phase.setdefault(r.phase, []).append((r.topic, np.array(r.centroid)))
+    spark = vectors.sparkSession
+    sizes = spark.createDataFrame([(r.phase, r.topic, r.n, r.k) for r in rows], "phase int, topic int, n long, k long")
+    used = vectors.select("phase", "uid", "topic", "embedding")
+
+    def distances(pdf: pd.DataFrame) -> Iterator[tuple]:
+        for phase, rows in pdf.groupby("phase"):
+            x = np.stack(rows["embedding"].to_numpy()).astype(float)
+            for topic, c in by_phase.get(phase, ()):
+                d = np.round(np.sqrt(((x - c) ** 2).sum(axis=1)), 9)
+                yield phase, topic, rows, d, np.floor(d * CELLS).astype(np.int64)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for phase, topic, _, _, cell in distances(pdf):
+                cells, c = np.unique(cell, return_counts=True)
+                yield pd.DataFrame({"phase": np.int32(phase), "topic": np.int32(topic), "cell": cells, "c": c})
+
+    cells = used.mapInPandas(count, "phase int, topic int, cell long, c long").groupBy(*KEYS, "cell").agg(F.sum("c").alias("c"))
+    upto = F.sum("c").over(Window.partitionBy(*KEYS).orderBy("cell").rowsBetween(Window.unboundedPreceding, 0))
+    cells = cells.withColumn("upto", upto).join(sizes, KEYS)
+    edges = cells.filter("upto >= k AND upto - c < k").select(*KEYS, "cell", (F.col("k") - F.col("upto") + F.col("c")).alias("missing")).collect()
+    edge = {(r.phase, r.topic): r.cell for r in edges}
+
+    def take(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for phase, topic, rows, d, cell in distances(pdf):
+                last = edge.get((phase, topic))
+                if last is None:
+                    continue
+                sure, own = cell < last, rows["topic"].to_numpy() < 0
+                at = np.flatnonzero(cell == last)
+                one = {"phase": np.int32(phase), "topic": np.int32(topic)}
+                if sure.any():
+                    yield pd.DataFrame({**one, "n": [int(sure.sum())], "noise": [int(own[sure].sum())], "d": [None], "uid": [None]}).astype({"d": "float64"})
+                if len(at):
+                    yield pd.DataFrame({**one, "n": 1, "noise": own[at].astype(int), "d": d[at], "uid": rows["uid"].to_numpy()[at]})
+
+    kept = used.mapInPandas(take, "phase int, topic int, n long, noise long, d double, uid string")
+    missing = spark.createDataFrame([(r.phase, r.topic, r.missing) for r in edges], "phase int, topic int, missing long")
+    ranked = kept.filter("uid IS NOT NULL").join(missing, KEYS).withColumn("r", F.row_number().over(Window.partitionBy(*KEYS).orderBy("d", "uid"))).filter("r <= missing")
+    near = kept.filter("uid IS NULL").select(*KEYS, "n", "noise").unionByName(ranked.select(*KEYS, "n", "noise"))
+    share = near.groupBy(*KEYS).agg((F.sum("noise") / F.sum("n")).alias("noise"))
+    return sizes.select(*KEYS, "n").join(share, KEYS)
 
 
 def journal_specificity(pub: DataFrame) -> DataFrame:
@@ -159,9 +211,15 @@ def author_key(author: Column, orcid: Column) -> Column:
     return F.when(orcid.rlike(r"^[0-9]{4}-[0-9]{4}-[0-9]{4}-[0-9]{3}[0-9X]$"), orcid).otherwise(name)
 
 
+def mention_key(author: Column, orcid: Column) -> Column:
+    """A10: who a mention counts for: the last part of the ORCID slot where one is given, else the name as written."""
+    given = F.trim(F.element_at(F.split(orcid, "/"), -1))
+    return F.when(F.length(given) > 0, given).otherwise(F.trim(author))
+
+
 def author_concentration(authors: DataFrame) -> DataFrame:
     """A10 DI1: Gini of mentions per author, 1 below 2 mentions."""
-    c = topics(authors).withColumn("a", author_key(F.col("author"), F.col("orcid"))).filter("a IS NOT NULL AND a <> ''").groupBy(*KEYS, "a").agg(F.count(F.lit(1)).alias("n"))
+    c = topics(authors).withColumn("a", mention_key(F.col("author"), F.col("orcid"))).filter("a IS NOT NULL AND a <> ''").groupBy(*KEYS, "a").agg(F.count(F.lit(1)).alias("n"))
     m = c.groupBy(*KEYS).agg(F.sum("n").alias("mentions"))
     g = K.gini(c, KEYS, "n", "g").join(m, KEYS)
     return g.select(*KEYS, F.when(F.col("mentions") < 2, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("g")))).alias("di1"))

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from topicweave.functions import lexicon as L
+from topicweave.functions import text as T
 from topicweave.operators import candidates as C
 from topicweave.operators import indicators as I
+from topicweave.operators.graph import reliable
 from topicweave.plans import fixtures as X
-from topicweave.plans.indicator_queries import MED, SHARE, TOPICS, W, gini_sql, query, rounded
-
-# Hedging words and phrases.
-HEDGES = "may might could suggest suggests appear appears seem seems likely possible possibly probably perhaps approximately indicate indicates limited common".split() + ["in contrast to common belief", "left open", "up to"]
-
+from topicweave.plans.indicator_queries import CTE, MED, SHARE, TOPICS, W, gini_sql, query, rounded
+from topicweave.plans.prepare_queries import FINDS, SENTENCES
 
 def _simpson(name: str, kind: str) -> list[str]:
     return [X.terms_sql(kind), f"{name}_x AS (SELECT phase, topic, uid, term, count(*) AS n FROM {kind} WHERE topic >= 0 GROUP BY 1, 2, 3, 4)",
@@ -52,19 +52,59 @@ def _eo3a1(spark, d):
     return rounded(C.length_adjusted_incoherence(X.vectors(spark, d)), digits=5)
 
 
-@query("cand_eo4_a2_hedges")
+_PATTERN = L.pattern([*L.HEDGES, *L.HEDGE_PHRASES], [*L.BOOSTERS, *L.BOOSTER_PHRASES]).replace("'", "''")
+_IS_HEDGE = "list_contains([" + ", ".join("'" + h.replace("'", "''").replace(" ", "  ") + "'" for h in (*L.HEDGES, *L.HEDGE_PHRASES)) + "], x)"
+
+
+def _counts_sql(name: str, source: str, text: str) -> list[str]:
+    """``name``: the rows of ``source`` with hedges, boosters and words of ``text``."""
+    return [f"{name}_w AS (SELECT *, regexp_extract_all(lower({text}), '{L.WORD.replace(chr(39), chr(39) * 2)}') AS w FROM {source})", f"{name}_f AS (SELECT *, regexp_extract_all(' ' || array_to_string(w, '  ') || ' ', '{_PATTERN}', 1) AS f FROM {name}_w)",
+            f"{name} AS (SELECT *, len(list_filter(f, lambda x: {_IS_HEDGE})) AS hedges, len(f) - len(list_filter(f, lambda x: {_IS_HEDGE})) AS boosters, len(w) AS words FROM {name}_f)"]
+
+
+_A2 = [TOPICS, *_counts_sql("hd", "tp", "abstract"), "a2 AS (SELECT phase, topic, avg(1000.0 * hedges / words) AS eo4_a2, avg(1000.0 * boosters / words) AS booster FROM hd WHERE words >= 20 GROUP BY 1, 2)"]
+# the stand-in for a model's score of a sentence: 1000 · (boosters - hedges) / words
+_SCORED = [SENTENCES, "sp AS (SELECT * FROM se WHERE topic >= 0)", *_counts_sql("sw", "sp", "sentence"),
+           f"sc AS (SELECT uid, phase, topic, nr, {FINDS} AS finding, CASE WHEN words > 0 THEN 1000.0 * (boosters - hedges) / words ELSE 0.0 END AS score, regexp_matches(sentence, '(?i)©|\\(c\\)|all rights reserved|copyright') AS notice FROM sw)",
+           "sd AS (SELECT phase, topic, uid, coalesce(avg(score) FILTER (finding), max_by(score, nr)) AS a1, avg(score) AS a1r, coalesce(avg(score) FILTER (finding AND NOT notice), max_by(score, nr) FILTER (NOT notice)) AS a1b, avg(score) FILTER (NOT notice) AS a1rb FROM sc GROUP BY 1, 2, 3)",
+           "a1 AS (SELECT phase, topic, -avg(a1) AS eo4_a1, -avg(a1r) AS eo4_a1r, -avg(a1b) AS eo4_a1b, -avg(a1rb) AS eo4_a1rb FROM sd GROUP BY 1, 2)"]
+
+
+def _scored_sentences(spark, d):
+    s = I.topics(X.pub(spark, d)).select(*I.KEYS, "uid", F.posexplode(T.sentences(F.col("abstract"))).alias("nr", "s"))
+    s = s.withColumn("c", L.hedge_counts(F.col("s")))
+    score = F.when(F.col("c.words") > 0, 1000.0 * (F.col("c.boosters") - F.col("c.hedges")) / F.col("c.words")).otherwise(0.0)
+    return s.select(*I.KEYS, "uid", "nr", T.is_finding(F.col("s")).alias("finding"), score.alias("score"), F.col("s").rlike(r"(?i)©|\(c\)|all rights reserved|copyright").alias("notice"))
+
+
+@query("cand_eo4_a2_hedges", W(*_A2) + "SELECT phase, topic, round(eo4_a2, 6) AS eo4_a2, round(booster, 6) AS booster FROM a2")
 def _hedge(spark, d):
-    return rounded(C.hedge_density(X.pub(spark, d), HEDGES))
+    """C6 and the booster density beside it."""
+    return rounded(C.hedge_density(X.pub(spark, d)))
 
 
-@query("cand_eo4_a1_findings")
+@query("cand_eo4_a1_findings", W(*_SCORED) + "SELECT phase, topic, " + ", ".join(f"round({c}, 6) AS {c}" for c in ("eo4_a1", "eo4_a1r", "eo4_a1b", "eo4_a1rb")) + " FROM a1")
 def _find(spark, d):
-    """The score of a sentence is its share of finding words, in place of a model's."""
-    from topicweave.functions import text as T
+    """The certainty of a sentence is an input; boosters minus hedges per 1000 words stand for a model's score here."""
+    return rounded(C.finding_scores(_scored_sentences(spark, d)))
+
+
+@query("cand_eo4_r3_combined", W(*_A2, *_SCORED, "zz AS (SELECT phase, topic, (eo4_a1 - avg(eo4_a1) OVER (PARTITION BY phase)) / nullif(stddev_pop(eo4_a1) OVER (PARTITION BY phase), 0) AS z1, (eo4_a2 - avg(eo4_a2) OVER (PARTITION BY phase)) / nullif(stddev_pop(eo4_a2) OVER (PARTITION BY phase), 0) AS z2 FROM a1 JOIN a2 USING (phase, topic) WHERE eo4_a1 IS NOT NULL AND eo4_a2 IS NOT NULL)") + "SELECT phase, topic, round((z1 + z2) / 2, 6) AS eo4_r3 FROM zz")
+def _r3(spark, d):
+    """C8."""
+    return rounded(C.combined_certainty(C.finding_scores(_scored_sentences(spark, d)), C.hedge_density(X.pub(spark, d))))
+
+
+def _fixed_k_sql(k: int) -> str:
+    return f"SELECT phase, topic, {k} AS k, round(avg(CASE WHEN own < 0 THEN 1.0 ELSE 0.0 END), 6) AS noise FROM dr WHERE r <= {k} GROUP BY 1, 2"
+
 
-    s = X.pub(spark, d).select(*I.KEYS, "uid", F.posexplode(T.sentences(F.col("abstract"))).alias("nr", "s"))
-    s = s.withColumn("finding", T.is_finding(F.col("s"))).withColumn("score", F.length(F.regexp_replace("s", "[^aeiou]", "")) / F.length("s"))
-    return rounded(C.finding_scores(I.topics(s)))
+@query("cand_pe2_fixed_k", W(*CTE["pe2"][:-1]) + _fixed_k_sql(25) + " UNION ALL " + _fixed_k_sql(50))
+def _pe2k(spark, d):
+    """J16, PE2_A1, PE2_A2: noise among the 25 and 50 nearest records."""
+    v = reliable(X.vectors(spark, d))
+    one = lambda k: I.nearest_to_centroids(v, lambda n, corpus: F.least(F.lit(k).cast("long"), corpus)).select(*I.KEYS, F.lit(k).alias("k"), "noise")
+    return rounded(one(25).unionByName(one(50)))
 
 
 @query("cand_eo5_a1_semantic_diversity", W(X.VEC, X.terms_sql("kwp"), "w AS (SELECT DISTINCT kwp.phase, kwp.topic, uid, term, embedding FROM kwp JOIN vec USING (uid))", "d AS (SELECT phase, topic, uid, term, generate_subscripts(embedding, 1) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM w)",

@@ -73,7 +73,7 @@ CTE = {
     "ds1": [TOPICS, "ds1 AS (SELECT phase, topic, coalesce(least(1.0, greatest(0.0, (avg(year) - 2000) / 25.0)), 0.5) AS ds1 FROM tp GROUP BY 1, 2)"],
     "ds3": [TOPICS, "rv AS (SELECT phase, topic, CASE WHEN doc_type IS NOT NULL THEN CAST(len(list_filter(string_split_regex(doc_type, '[;|]'), lambda p: lower(trim(p)) = 'review')) > 0 AS INT) END AS r FROM tp)",
             "ds3 AS (SELECT phase, topic, 1 - (coalesce(sum(r), 0) + 10.0 * (SELECT avg(r) FROM rv v WHERE v.phase = rv.phase)) / (count(r) + 10.0) AS ds3 FROM rv GROUP BY 1, 2)"],
-    "di1": [X.AUTHORS, "ak AS (SELECT phase, topic, CASE WHEN regexp_full_match(orcid, '[0-9]{4}-[0-9]{4}-[0-9]{4}-[0-9]{3}[0-9X]') THEN orcid ELSE lower(regexp_replace(trim(author), '\\s+', ' ', 'g')) END AS a FROM au WHERE topic >= 0)",
+    "di1": [X.AUTHORS, "ak AS (SELECT phase, topic, CASE WHEN length(trim(string_split(orcid, '/')[-1])) > 0 THEN trim(string_split(orcid, '/')[-1]) ELSE trim(author) END AS a FROM au WHERE topic >= 0)",
             "ac AS (SELECT phase, topic, a, count(*) AS n FROM ak WHERE a <> '' GROUP BY 1, 2, 3)", gini_sql("ag", "ac", "n"), "di1 AS (SELECT phase, topic, CASE WHEN s < 2 THEN 1.0 ELSE least(1.0, greatest(0.0, g)) END AS di1 FROM ag)"],
     "di2": [TOPICS, X.terms_sql("inst"), "di2 AS (SELECT phase, topic, CASE WHEN coalesce(m, 0) < 2 THEN 1.0 ELSE 1 / (1 + ln(1 + k / CAST(n AS DOUBLE))) END AS di2 FROM (SELECT phase, topic, count(*) AS n FROM tp GROUP BY 1, 2) LEFT JOIN (SELECT phase, topic, count(DISTINCT term) AS k, count(*) AS m FROM inst GROUP BY 1, 2) USING (phase, topic))"],
     "di3": [TOPICS, X.terms_sql("ctry"), "cc AS (SELECT phase, topic, term, count(DISTINCT uid) AS n FROM ctry GROUP BY 1, 2, 3)", "di3 AS (SELECT phase, topic, CASE WHEN coalesce(sum(n), 0) < 2 THEN 1.0 ELSE sum(n * CAST(n AS DOUBLE)) / (sum(n) * CAST(sum(n) AS DOUBLE)) END AS di3 FROM (SELECT DISTINCT phase, topic FROM tp) LEFT JOIN cc USING (phase, topic) GROUP BY 1, 2)"],

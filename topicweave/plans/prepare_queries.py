@@ -40,16 +40,16 @@ for _p in T.LATEX:
 _CLEAN = f"regexp_replace({_CLEAN}, '{T.HTML}', ' ', 'g')"
 
 
-@query("scalar_clean_text", "WITH " + X.PUB + f" SELECT uid, trim(regexp_replace({_CLEAN}, '{_BL}', ' ', 'g')) AS cleaned FROM pub WHERE abstract IS NOT NULL")
+@query("scalar_clean_text", "WITH " + X.PUB + f" SELECT uid, trim(regexp_replace(regexp_replace({_CLEAN}, '{_BL}', ' ', 'g'), ' +([,.;:!?])', '\\1', 'g')) AS cleaned FROM pub WHERE abstract IS NOT NULL")
 def _clean(spark, d):
-    """S2f, S3f, S5f: markup out, blanks collapsed (the copyright tail is left, its end anchors differ between engines)."""
-    return X.pub(spark, d).filter("abstract IS NOT NULL").select("uid", T.collapse_blanks(T.strip_html(T.strip_latex(F.col("abstract")))).alias("cleaned"))
+    """S2f, S3f, S5f: markup out, blanks tidied (compatible characters and the copyright tail are left, which SQL has no like for)."""
+    return X.pub(spark, d).filter("abstract IS NOT NULL").select("uid", T.tidy_blanks(T.without_tags(T.without_formulas(F.col("abstract")))).alias("cleaned"))
 
 
 @query("scalar_clean_text_full")
 def _clean_full(spark, d):
-    """S1f, S4f."""
-    return X.pub(spark, d).filter("abstract IS NOT NULL").select("uid", T.clean_text(F.col("abstract")).alias("cleaned"))
+    """S1f, S4f, S5f: the whole cleaning; without SQL, since compatibility forms are beyond it."""
+    return X.pub(spark, d).filter("abstract IS NOT NULL").select("uid", T.cleaned(F.col("abstract")).alias("cleaned"))
 
 
 @query("agg_artefacts", f"SELECT count(*) AS n_total, count(*) FILTER (regexp_matches(text, '{T.LATEX[3]}')) AS latex_cmd, count(*) FILTER (regexp_matches(text, '{T.LATEX[0]}') OR regexp_matches(text, '{T.LATEX[1]}')) AS inline_math, count(*) FILTER (regexp_matches(text, '{T.HTML}')) AS html_tag FROM documents WHERE length(text) > 0")
@@ -103,13 +103,35 @@ def _rev(spark, d):
     return X.pub(spark, d).select("uid", I.is_review(F.col("doc_type")).alias("review"))
 
 
-@query("scalar_author_keys", W(X.AUTHORS) + "SELECT uid, seq, CASE WHEN regexp_full_match(orcid, '[0-9]{4}-[0-9]{4}-[0-9]{4}-[0-9]{3}[0-9X]') THEN orcid ELSE lower(regexp_replace(trim(author), '\\s+', ' ', 'g')) END AS key FROM au")
+@query("scalar_author_keys", W(X.AUTHORS) + "SELECT uid, seq, CASE WHEN regexp_full_match(orcid, '[0-9]{4}-[0-9]{4}-[0-9]{4}-[0-9]{3}[0-9X]') THEN orcid ELSE lower(regexp_replace(trim(author), '\\s+', ' ', 'g')) END AS key, CASE WHEN length(trim(string_split(orcid, '/')[-1])) > 0 THEN trim(string_split(orcid, '/')[-1]) ELSE trim(author) END AS mention FROM au")
 def _keys(spark, d):
-    """S12f, S13f."""
-    return X.authors(spark, d).select("uid", "seq", I.author_key(F.col("author"), F.col("orcid")).alias("key"))
+    """S12f, S13f: the key of a person, and the key that A10 counts mentions by."""
+    a, o = F.col("author"), F.col("orcid")
+    return X.authors(spark, d).select("uid", "seq", I.author_key(a, o).alias("key"), I.mention_key(a, o).alias("mention"))
 
 
-@query("scalar_sentences")
+@query("scalar_reference_keys", "WITH r AS (SELECT DISTINCT uid_ref, CASE WHEN ascii(right(uid_ref, 1)) % 2 = 0 THEN concat('Author A, 2010, J Phys, V1, DOI 10.1/', uid_ref) ELSE concat('Author B , 2011, ', uid_ref, ', V2') END AS t FROM reference_edges WHERE uid_ref IS NOT NULL)"
+       + " SELECT uid_ref, CASE WHEN regexp_extract(t, '(?i)DOI\\s+(10\\.\\S+)', 1) <> '' THEN lower(regexp_extract(t, '(?i)DOI\\s+(10\\.\\S+)', 1)) ELSE upper(array_to_string(list_transform(string_split(t, ',')[1:3], lambda x: trim(x)), ', ')) END AS key FROM r")
+def _refkeys(spark, d):
+    """S14f: keys of cited references, whose texts are made of the ids here, since the tables have none."""
+    r = X.table(spark, d, "reference_edges").select("uid_ref").filter("uid_ref IS NOT NULL").distinct()
+    even = F.ascii(F.right("uid_ref", F.lit(1))) % 2 == 0
+    t = F.when(even, F.concat(F.lit("Author A, 2010, J Phys, V1, DOI 10.1/"), "uid_ref")).otherwise(F.concat(F.lit("Author B , 2011, "), "uid_ref", F.lit(", V2")))
+    return r.select("uid_ref", T.reference_key(t).alias("key"))
+
+
+def _shielded(c: str) -> str:
+    for a in T.ABBREVIATIONS:
+        c = f"replace({c}, '{a}', '{a.replace('.', chr(1))}')"
+    return c
+
+
+#: Sentences of abstracts: (uid, phase, topic, nr, sentence).
+SENTENCES = "se AS (SELECT uid, phase, topic, generate_subscripts(l, 1) - 1 AS nr, unnest(l) AS sentence FROM (SELECT uid, phase, topic, list_filter(list_transform(string_split(regexp_replace(" + _shielded(f"trim(regexp_replace(abstract, '{_BL}', ' ', 'g'))") + ", '([.!?])\\s+([A-Z0-9(\\[])', '\\1' || chr(2) || '\\2', 'g'), chr(2)), lambda x: trim(replace(x, chr(1), '.'))), lambda x: x <> '') AS l FROM pub WHERE abstract IS NOT NULL))"
+FINDS = "regexp_matches(sentence, '(?i)\\b(" + "|".join(T.FINDING) + ")\\b')"
+
+
+@query("scalar_sentences", W(SENTENCES) + f"SELECT uid, CAST(nr AS INT) AS nr, sentence, {FINDS} AS finding FROM se")
 def _sent(spark, d):
     """S15f, S16f: sentences of the abstracts and whether they report a finding."""
     s = X.pub(spark, d).select("uid", F.posexplode(T.sentences(F.col("abstract"))).alias("nr", "sentence"))

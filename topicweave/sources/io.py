@@ -66,22 +66,29 @@ def read_topic_keywords(df: DataFrame, k: int) -> DataFrame:
     return top_k(df.filter("topic >= 0 AND keyword IS NOT NULL"), ["topic"], "score", ["keyword"], k)
 
 
-def read_sentences(spark: SparkSession, path: str) -> DataFrame:
-    """IO11: JSON lines {doc, saetze} as (doc, nr, sentence)."""
-    raw = spark.read.schema("doc string, sentences array<string>").json(path)
-    return raw.select("doc", F.posexplode("sentences").alias("nr", "sentence"))
-
-
-def read_ratings(spark: SparkSession, path: str) -> DataFrame:
-    """IO12: (nr, rating, valid): a rating sheet of unknown delimiter, decimal commas allowed, valid from 1 to 6 whole."""
-    lines = spark.read.text(path).filter("value <> ''")
-    head = lines.first()[0].lstrip("﻿")
-    sep = max(";\t,", key=head.count)
-    parts = F.split("value", sep)
-    body = lines.filter(~F.contains(F.lower("value"), F.lit("nr")))
-    value = F.try_to_number(F.replace(F.trim(F.element_at(parts, -1)), F.lit(","), F.lit(".")), F.lit("99.99")).cast("double")
-    out = body.select(F.trim(parts[0]).try_cast("int").alias("nr"), value.alias("rating"))
-    return out.withColumn("valid", F.coalesce(F.col("rating").between(1, 6) & (F.col("rating") == F.floor("rating")), F.lit(False)))
+def read_sentences(spark: SparkSession, path: str, key: str = "sentences") -> DataFrame:
+    """IO11: JSON lines {doc, <key>: [sentences]} as (doc, nr, sentence), ``nr`` from 0; a document given twice is an error."""
+    raw = spark.read.schema(f"doc string, `{key}` array<string>").json(path)
+    if raw.filter("doc IS NOT NULL").groupBy("doc").count().filter("count > 1").limit(1).count():
+        raise ValueError("a document is given twice")
+    return raw.select("doc", F.posexplode(key).alias("nr", "sentence"))
+
+
+def read_ratings(spark: SparkSession, path: str, number: str = "nr", rating: str = "rating", encoding: str = "UTF-8") -> DataFrame:
+    """IO12: (nr, rating, state): a rating sheet whose delimiter its header tells. ``state`` is 'valid' for whole ratings from 1 to 6,
+    'empty', or 'invalid', and ``rating`` null unless valid; decimal commas are read, blank lines are not rows."""
+    head = spark.read.option("encoding", encoding).text(path).first()[0].lstrip("\ufeff")
+    sep = ";" if head.count(";") >= 2 else "\t" if head.count("\t") >= 2 else ","
+    raw = spark.read.csv(path, header=True, sep=sep, encoding=encoding, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
+    names = {c.lstrip("\ufeff").strip().lower(): c for c in raw.columns}
+    if not {number, rating} <= set(names):
+        raise ValueError(f"columns {number} and {rating} are needed, the sheet has {sorted(names)}")
+    as_number = lambda c: F.replace(F.trim(F.col(f"`{names[c]}`")), F.lit(","), F.lit(".")).try_cast("double")
+    value, text = as_number(rating), F.coalesce(F.trim(F.col(f"`{names[rating]}`")), F.lit(""))
+    fits = F.coalesce(value.between(1, 6) & (value == F.floor(value)), F.lit(False))
+    state = F.when(text == "", "empty").when(fits, "valid").otherwise("invalid")
+    out = raw.filter(F.length(F.trim(F.concat_ws("", *[F.col(f"`{c}`") for c in raw.columns]))) > 0)
+    return out.select(as_number(number).cast("int").alias("nr"), F.when(fits, value.cast("int")).alias("rating"), state.alias("state"))
 
 
 def read_lexicon(spark: SparkSession, path: str) -> DataFrame:
@@ -112,12 +119,21 @@ def write_report(df: DataFrame, path: str) -> None:
 
 
 def append_log(spark: SparkSession, path: str, entry: dict) -> None:
-    """IO17, S27f: one row of the run register, with a digest of its content."""
+    """IO17, S27f: one row of the run register, with a digest of its content.
+
+    ``inputs`` in an entry may hold the digest of a table (``table_digest``)."""
     text = "|".join(f"{k}={entry[k]}" for k in sorted(entry))
     row = spark.range(1).select(F.current_timestamp().alias("at"), F.lit(text).alias("entry"), F.sha2(F.lit(text), 256).alias("digest"))
     row.write.mode("append").parquet(path)
 
 
+def table_digest(df: DataFrame) -> DataFrame:
+    """S27f: (rows, digest): a digest of a table that no order of its rows or files changes."""
+    row = F.sha2(F.concat_ws("\u0001", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\u0002")) for c in sorted(df.columns)]), 256)
+    parts = [F.sum(F.conv(F.substring(row, 1 + 8 * i, 8), 16, 10).cast("decimal(38,0)")) for i in range(8)]
+    return df.agg(F.count(F.lit(1)).alias("rows"), F.sha2(F.concat_ws(",", *[p.cast("string") for p in parts]), 256).alias("digest"))
+
+
 def synthetic_corpus(spark: SparkSession, n: int, topics: int, dims: int = 16, seed: int = 42) -> DataFrame:
     """IO19: (id, topic, year, embedding): years with linearly rising weights, unit vectors around a centre per topic."""
     from topicweave.operators.resample import normal, uniform
