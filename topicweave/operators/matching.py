@@ -51,6 +51,25 @@ def overlap_matches(labels: DataFrame, doc: str, old: str, new: str, least: floa
     return j.withColumn("k", F.row_number().over(w)).filter((F.col("k") == 1) & (F.col("jaccard") >= least)).select(new, old, "jaccard")
 
 
+def overlap_report(labels: DataFrame, old: str, new: str) -> DataFrame:
+    """(new, members, noise, kinds, best_share): members of each new label, those that were noise, the old labels met, and the
+    share of the best one, null if there is none."""
+    c = labels.filter(F.col(new) >= 0).groupBy(old, new).agg(F.count(F.lit(1)).alias("c"))
+    known = F.col(old) >= 0
+    a = c.groupBy(new).agg(F.sum("c").alias("members"), F.coalesce(F.sum(F.when(F.col(old) == -1, F.col("c"))), F.lit(0)).alias("noise"), F.count_if(known).alias("kinds"), F.max(F.when(known, F.col("c"))).alias("most"))
+    return a.select(new, "members", "noise", "kinds", (F.col("most") / F.col("members")).alias("best_share"))
+
+
+def close_matches(labels: DataFrame, old: str, new: str, least: float = 0.75) -> DataFrame:
+    """(new, old, jaccard, unique_match): pairs of labels with a Jaccard of at least ``least``, and whether neither is in another."""
+    both = labels.groupBy(old, new).agg(F.count(F.lit(1)).alias("c"))
+    a, b = labels.groupBy(old).agg(F.count(F.lit(1)).alias("na")), labels.groupBy(new).agg(F.count(F.lit(1)).alias("nb"))
+    j = both.filter((F.col(old) >= 0) & (F.col(new) >= 0)).join(a, old).join(b, new).withColumn("jaccard", F.col("c") / (F.col("na") + F.col("nb") - F.col("c")))
+    j = j.filter(F.col("jaccard") >= least).select(new, old, "jaccard")
+    one = lambda c: F.count(F.lit(1)).over(Window.partitionBy(c)) == 1
+    return j.withColumn("unique_match", one(new) & one(old))
+
+
 def clusterwise_stability(runs: DataFrame, doc: str, old: str, new: str, run: str) -> DataFrame:
     """Per old label the best Jaccard of each run, averaged over runs."""
     both = runs.groupBy(run, old, new).agg(F.count(F.lit(1)).alias("c"))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from topicweave.operators import kernels as K
 
@@ -133,3 +135,62 @@ def transition_matrix(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """Counts of class pairs with totals: the cube of both classes, 'all' for a total."""
     c = pairs.cube(a, b).agg(F.count(F.lit(1)).alias("n"))
     return c.select(F.coalesce(a, F.lit("all")).alias(a), F.coalesce(b, F.lit("all")).alias(b), "n")
+
+
+def with_p_value(corr: DataFrame) -> DataFrame:
+    """``corr`` with the two-sided p-value of ``rho`` over ``n`` rows by Student's t; null for a null rho."""
+    from topicweave.operators.multivariate import student_p
+
+    @F.pandas_udf(T.DoubleType())
+    def p(rho: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([None if r is None or r != r else student_p(r, int(k)) for r, k in zip(rho, n, strict=True)], dtype=float)
+
+    return corr.withColumn("p", F.when(F.col("rho").isNotNull(), p("rho", "n")))
+
+
+def match_evalues(scores: DataFrame) -> DataFrame:
+    """(topic1, h, p, e): best score of each topic, the share of all pairs above it, and candidates times that share.
+
+    Pairs above a score are counted from running sums over the distinct scores, not by comparing scores with scores.
+    """
+    c = scores.groupBy("hybrid").agg(F.count(F.lit(1)).alias("c"))
+    above = F.coalesce(F.sum("c").over(Window.partitionBy(F.lit(1)).orderBy(F.desc("hybrid")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    c = c.withColumn("above", above)  # a row per distinct score of two topics
+    total = scores.agg(F.count(F.lit(1)).alias("pairs"), F.countDistinct("topic2").alias("candidates"))
+    best = scores.groupBy("topic1").agg(F.max("hybrid").alias("h"))
+    out = best.join(c.select(F.col("hybrid").alias("h"), "above"), "h").join(total)  # a table of one row
+    return out.select("topic1", "h", (F.col("above") / F.col("pairs")).alias("p"), (F.col("candidates") * F.col("above") / F.col("pairs")).alias("e"))
+
+
+def effective_candidates(scores: DataFrame) -> DataFrame:
+    """(n_all, n_lower, ties): maximum likelihood of n in Beta(n, 1) from the ranks of the best scores, -m / Σ ln r, the same
+    truncated at the median rank, k / (k ln c - Σ ln r), and the share of pairs with score 0."""
+    r = match_evalues(scores).select(F.least(F.greatest(1.0 - F.col("p"), F.lit(1e-12)), F.lit(1 - 1e-12)).alias("r"))
+    c = r.agg(F.percentile("r", 0.5).alias("c"))
+    low = F.col("r") <= F.col("c")
+    a = r.join(c).agg((-F.count(F.lit(1)) / F.sum(F.log("r"))).alias("n_all"), (F.count_if(low) / (F.count_if(low) * F.log(F.first("c")) - F.sum(F.when(low, F.log("r"))))).alias("n_lower"))
+    return a.join(scores.agg(F.avg((F.col("hybrid") == 0).cast("double")).alias("ties")))
+
+
+def flag_overlap(scores: DataFrame, scales: list[str]) -> DataFrame:
+    """(flag, a, b, both, jaccard): sizes and overlap of the topics that two scales mark."""
+    long = K.unpivot(scores, ["topic1", "topic2"], scales, "scale", "v")
+    q99 = long.groupBy("scale").agg(F.percentile("v", 0.99).alias("q"))
+    first = long.groupBy("scale", F.col("topic1").alias("topic")).agg(F.max("v").alias("h")).join(q99, "scale").filter("h < q").select(F.lit("below_q99").alias("flag"), "scale", "topic")
+    best = long.groupBy("scale", F.col("topic2").alias("topic")).agg(F.max("v").alias("h"))
+    q25 = best.groupBy("scale").agg(F.percentile("h", 0.25).alias("q"))
+    second = best.join(q25, "scale").filter("h < q").select(F.lit("below_q25").alias("flag"), "scale", "topic")
+    in_scale = lambda s: F.max((F.col("scale") == s).cast("int"))
+    per = first.unionByName(second).groupBy("flag", "topic").agg(in_scale(scales[0]).alias("a"), in_scale(scales[1]).alias("b"))
+    every = scores.sparkSession.createDataFrame([("below_q99",), ("below_q25",)], "flag string")
+    n = every.join(per.groupBy("flag").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum(F.col("a") * F.col("b")).alias("both")), "flag", "left").na.fill(0)
+    union = F.col("a") + F.col("b") - F.col("both")
+    return n.select("flag", "a", "b", "both", F.when(union > 0, F.col("both") / union).alias("jaccard"))
+
+
+def ratio_box(values: DataFrame, floor: float = 0.1) -> DataFrame:
+    """V8: of (phase, topic, o) over the phase's median: whiskers at 5 and 95 %, quartiles (values lifted to ``floor``), the median and how many are below 1."""
+    r = values.withColumn("base", F.percentile("o", 0.5).over(Window.partitionBy("phase"))).withColumn("ratio", F.when(F.col("base") > 0, F.col("o") / F.col("base"))).filter("ratio IS NOT NULL")
+    lifted = F.greatest(F.col("ratio"), F.lit(floor))
+    a = r.groupBy("phase").agg(F.count(F.lit(1)).alias("n"), F.percentile(lifted, F.array(*[F.lit(x) for x in (0.05, 0.25, 0.75, 0.95)])).alias("q"), F.percentile("ratio", 0.5).alias("median"), F.count_if(F.col("ratio") < 1.0).alias("below"))
+    return a.select("phase", "n", F.col("q")[0].alias("low"), F.col("q")[1].alias("q25"), "median", F.col("q")[2].alias("q75"), F.col("q")[3].alias("high"), "below")

@@ -102,7 +102,7 @@ def _c13(spark, d):
 
 @query("resample_split_half")
 def _m22(spark, d):
-    """Reliability of the mean age of topics over split halves."""
+    """Reliability of the mean citations of topics over split halves."""
     h = S.split_halves(X.pub(spark, d)).filter("topic >= 0").groupBy("rep", "half", *I.KEYS).agg(F.avg(F.col("times_cited").cast("double")).alias("v"))
     return rounded(S.split_half_reliability(h, "v"))
 
@@ -132,7 +132,7 @@ def _c26(spark, d):
 
 @query("resample_random_weights")
 def _m24(spark, d):
-    """Shares of the classes over random weights."""
+    """Shares of the classes over random weights."""
     r = S.random_weights(_base(spark, d))
     return rounded(r.groupBy(*I.KEYS, "dominant").agg((F.count(F.lit(1)) / 1000.0).alias("share")))
 
@@ -152,7 +152,8 @@ def _c27(spark, d):
     return rounded(S.rank_sums(p, "g", "times_cited", ["phase"]))
 
 
-@query("set_mixture_metamorphic")
+@query("set_mixture_metamorphic", W(X.terms_sql("cat"), "mc AS (SELECT phase, topic, term, count(*) AS n FROM cat WHERE topic >= 0 GROUP BY 1, 2, 3)", "mo AS (SELECT phase, topic, sum(n) AS total, log2(sum(n)) - sum(n * log2(n)) / sum(n) AS h FROM mc GROUP BY 1, 2)", "mp AS (SELECT phase, CAST(floor(topic / 2) AS INT) AS topic, term, sum(n) AS n FROM mc GROUP BY 1, 2, 3)",
+         "mh AS (SELECT phase, topic, log2(sum(n)) - sum(n * log2(n)) / sum(n) AS merged FROM mp GROUP BY 1, 2)", "mw AS (SELECT phase, CAST(floor(topic / 2) AS INT) AS topic, sum(h * total) / sum(total) AS parts FROM mo GROUP BY 1, 2)") + "SELECT phase, topic, round(merged, 6) AS merged, round(parts, 6) AS parts, merged >= parts - 1e-9 AS rises FROM mh JOIN mw USING (phase, topic)")
 def _c28(spark, d):
     """Topics merged in pairs have at least about the mean diversity of their parts."""
     t = X.terms(X.pub(spark, d), "cat").filter("topic >= 0")
@@ -165,9 +166,8 @@ def _c28(spark, d):
 # --- factor structure: a few numbers of a table with a row per topic
 @query("multi_factor_adequacy")
 def _m5(spark, d):
-    """Adequacy of the correlations of ten columns of the topics of both phases, retained factors, effective number."""
-    cols = ["eo1", "eo2", "pe1", "pe3", "ds1", "ds2", "di1", "di2", "di4", "ip2"]
-    cols, x = N.matrix(indicators16(spark, d), cols, 0.001)
+    """Adequacy of the correlations of the indicators over the topics of both phases, retained factors, effective number."""
+    cols, x = N.matrix(indicators16(spark, d), I.INDICATORS)
     r = N.correlation(x)
     chi, df, p = N.bartlett(r, len(x))
     _, _, kept = N.parallel_analysis(x)
@@ -177,9 +177,8 @@ def _m5(spark, d):
 
 @query("multi_factor_loadings")
 def _m4(spark, d):
-    """M4: pattern of two correlated factors (principal axis and direct quartimin) and communalities."""
-    cols = ["eo1", "eo2", "pe1", "pe3", "ds1", "ds2", "di1", "di2", "di4", "ip2"]
-    cols, x = N.matrix(indicators16(spark, d), cols, 0.001)
+    """Of the indicators that vary, the pattern of two correlated factors (principal axis and direct quartimin) and communalities."""
+    cols, x = N.matrix(indicators16(spark, d), I.INDICATORS)
     load = N.principal_axis(N.correlation(x), 2)
     pattern, phi = N.oblimin(load)
     h2 = ((pattern @ phi) * pattern).sum(axis=1)
@@ -189,12 +188,28 @@ def _m4(spark, d):
 
 @query("multi_components")
 def _m7(spark, d):
-    """M7, M8: explained variance of the principal components."""
-    _, x = N.matrix(indicators16(spark, d), I.INDICATORS, 0.001)
+    """M7: explained variance of the principal components."""
+    _, x = N.matrix(indicators16(spark, d), I.INDICATORS)
     share, _ = N.pca(x)
     return spark.createDataFrame(pd.DataFrame({"component": range(1, len(share) + 1), "share": share}))
 
 
+@query("multi_theory_coherence")
+def _m8(spark, d):
+    """M8: share of a dimension's indicators on its most common factor, of as many factors as parallel analysis keeps (at least two)."""
+    cols, x = N.matrix(indicators16(spark, d), I.INDICATORS)
+    _, _, kept = N.parallel_analysis(x)
+    pattern, _ = N.oblimin(N.principal_axis(N.correlation(x), max(2, kept)))
+    return spark.createDataFrame(N.theory_coherence(pattern, cols, I.DIMENSIONS), "dimension string, indicators int, share double, verdict string")
+
+
+@query("multi_own_shares")
+def _m26(spark, d):
+    """Share of each indicator's variance that no other explains."""
+    cols, x = N.matrix(indicators16(spark, d), I.INDICATORS)
+    return rounded(spark.createDataFrame(pd.DataFrame({"indicator": cols, "own_share": N.own_shares(N.correlation(x))})))
+
+
 @query("cluster_density")
 def _m3(spark, d):
     """M2, M3: density clusters of the projected embeddings, and their agreement with the labels."""
