@@ -129,25 +129,123 @@ def null_model(ind: DataFrame, reps: int = 1000, seed: int = 42, blocks: dict[st
     return a.select("phase", "observed", "mean", "sd", F.when(F.col("sd") > 0, (F.col("observed") - F.col("mean")) / F.col("sd")).alias("ses"), ((F.col("above") + 1.0) / (F.col("reps") + 1.0)).alias("p"), "reps")
 
 
-def time_permutation_ses(pub: DataFrame, terms: DataFrame, reps: int = 50, seed: int = 42) -> DataFrame:
-    """Keyword volatility of a topic against permutations of the years among its records: (observed - mean) / sd.
+#: Records of a topic are ranked by hash in so many slices.
+SLICES = 32
 
-    Replicate 0 is the observed order. A permutation joins records by id order with years by hash order within the topic. Ranks
-    within a topic are row numbers over its records and replicate; terms join by record.
+
+def permuted_years(docs: DataFrame, reps: int, seed: int) -> DataFrame:
+    """(keys, uid, rep, year): the years of a topic's records in ``reps`` random orders, replicate 0 as they are.
+
+    In a replicate the record of rank i by hash gets the i-th year of the topic. Ranks are counted in slices of the hash, and
+    the slices' sizes summed up, so no topic is sorted in one task; the years by rank are a row per record, not per replicate.
+    """
+    top = 2**53 - 111
+    r = docs.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).withColumn("h", F.pmod(F.xxhash64(F.lit(seed), "rep", "uid"), F.lit(top)))
+    r = r.withColumn("slice", F.floor(F.col("h") / F.lit(top) * SLICES).cast("int"))
+    sizes = r.groupBy(*I.KEYS, "rep", "slice").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(*I.KEYS, "rep").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select(*I.KEYS, "rep", "slice", before.alias("before"))
+    r = r.withColumn("i", F.row_number().over(Window.partitionBy(*I.KEYS, "rep", "slice").orderBy("h", "uid"))).join(sizes, [*I.KEYS, "rep", "slice"])
+    r = r.select(*I.KEYS, "uid", "rep", (F.col("i") + F.col("before")).alias("i"))
+    years = docs.groupBy(*I.KEYS, "year").agg(F.count(F.lit(1)).alias("n"))
+    start = F.coalesce(F.sum("n").over(Window.partitionBy(*I.KEYS).orderBy("year").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    places = years.withColumn("start", start).select(*I.KEYS, "year", F.explode(F.sequence(F.col("start") + 1, F.col("start") + F.col("n"))).alias("i"))
+    return r.join(places, [*I.KEYS, "i"]).select(*I.KEYS, "uid", "rep", "year").unionByName(docs.select(*I.KEYS, "uid", F.lit(0).alias("rep"), "year"))
+
+
+def _ses(d: DataFrame, out: str) -> DataFrame:
+    """Replicate 0 against the others: (observed - mean) / sd, null below ten replicates with a value."""
+    null = F.when(F.col("rep") > 0, F.col("d"))
+    a = d.filter("d IS NOT NULL").groupBy(*I.KEYS).agg(F.max(F.when(F.col("rep") == 0, F.col("d"))).alias("observed"), F.avg(null).alias("mean"), F.stddev_samp(null).alias("sd"), F.count(null).alias("nulls"))
+    return a.select(*I.KEYS, "observed", F.when((F.col("nulls") >= 10) & (F.col("sd") > 0), (F.col("observed") - F.col("mean")) / F.col("sd")).alias(out))
+
+
+def time_permutation_ses(pub: DataFrame, terms: DataFrame, reps: int = 50, seed: int = 42, mode: str = "halves", out: str = "eo1_a2") -> DataFrame:
+    """(phase, topic, observed, <out>): distance of a topic's vocabulary over time against permutations of the years of its records.
+
+    ``mode`` 'halves' compares the records up to the median year with the later ones (EO1_A2, from four records on), 'years'
+    takes the mean over neighbouring years that the topic has, both with terms (DS2_A1, DS2_A2, from three years on).
     """
-    years = I.topics(pub).filter("year IS NOT NULL").select(*I.KEYS, "uid", "year")
-    med = years.groupBy(*I.KEYS).agg(F.percentile("year", 0.5).alias("m"))
-    y = years.join(med, I.KEYS).select(*I.KEYS, "uid", F.when(F.col("year") <= F.col("m"), "early").otherwise("late").alias("half"))
-    r = y.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps))))
-    w = Window.partitionBy(*I.KEYS, "rep")
-    ids = r.withColumn("i", F.row_number().over(w.orderBy("uid"))).select(*I.KEYS, "rep", "i", "uid")
-    order = F.when(F.col("rep") == 0, F.lit(0)).otherwise(F.xxhash64(F.lit(seed), "rep", "uid"))
-    halves = r.withColumn("i", F.row_number().over(w.orderBy(order, "uid"))).select(*I.KEYS, "rep", "i", "half")
+    docs = I.topics(pub).filter("year IS NOT NULL").select(*I.KEYS, "uid", "year")
+    size = docs.groupBy(*I.KEYS).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("year").alias("years"), F.percentile("year", 0.5).alias("m"))
+    least = "n >= 4" if mode == "halves" else "years >= 3"
+    docs = docs.join(size.filter(least).select(*I.KEYS), I.KEYS, "left_semi")
     t = K.counts(I.topics(terms), [*I.KEYS, "uid"], "term")
-    long = ids.join(halves, [*I.KEYS, "rep", "i"]).join(t, [*I.KEYS, "uid"])
-    d = K.ruzicka(long, [*I.KEYS, "rep"], "half", "early", "late", "term", "d").filter("d IS NOT NULL")
-    a = d.groupBy(*I.KEYS).agg(F.max(F.when(F.col("rep") == 0, F.col("d"))).alias("observed"), F.avg(F.when(F.col("rep") > 0, F.col("d"))).alias("mean"), F.stddev_samp(F.when(F.col("rep") > 0, F.col("d"))).alias("sd"), F.count_if(F.col("rep") > 0).alias("nulls"))
-    return a.select(*I.KEYS, "observed", F.when((F.col("nulls") >= 10) & (F.col("sd") > 0), (F.col("observed") - F.col("mean")) / F.col("sd")).alias("eo1_a2"))
+    years = permuted_years(docs, reps, seed)
+    if mode == "halves":
+        half = F.when(F.col("year") <= F.col("m"), "early").otherwise("late")
+        long = years.join(size.select(*I.KEYS, "m"), I.KEYS).select(*I.KEYS, "rep", "uid", half.alias("half")).join(t, [*I.KEYS, "uid"])
+        return _ses(K.ruzicka(long, [*I.KEYS, "rep"], "half", "early", "late", "term", "d"), out)
+    c = years.join(t, [*I.KEYS, "uid"]).groupBy(*I.KEYS, "rep", "year", "term").agg(F.sum("n").alias("n"))
+    own = docs.select(*I.KEYS, "year").distinct()
+    own = own.withColumn("before", F.lag("year").over(Window.partitionBy(*I.KEYS).orderBy("year")))
+    # a count is the later side of one pair of years and the earlier side of the next
+    sides = c.join(own, [*I.KEYS, "year"])
+    later = sides.filter("before IS NOT NULL").select(*I.KEYS, "rep", F.col("year").alias("pair"), F.lit("b").alias("side"), "term", "n")
+    after = own.filter("before IS NOT NULL").select(*I.KEYS, F.col("before").alias("year"), F.col("year").alias("pair"))
+    earlier = c.join(after, [*I.KEYS, "year"]).select(*I.KEYS, "rep", "pair", F.lit("a").alias("side"), "term", "n")
+    d = K.ruzicka(earlier.unionByName(later), [*I.KEYS, "rep", "pair"], "side", "a", "b", "term", "d").filter("d IS NOT NULL").groupBy(*I.KEYS, "rep").agg(F.avg("d").alias("d"))
+    return _ses(d, out)
+
+
+def class_shares_against_null(ind: DataFrame, reps: int = 1000, seed: int = 42, blocks: dict[str, list[str]] | None = None) -> DataFrame:
+    """(phase, dominant, real, null_mean, low, high, p, outside, reps): shares of the classes against permuted indicators, the
+    two-sided p-value being the part of replicates at least as far from their mean, low and high their 2.5 and 97.5 percentiles."""
+    share = lambda m, keys: m.groupBy(*keys).agg(*[F.avg((F.col("dominant") == c).cast("double")).alias(c) for c in ("ws", "trend", "ec", "latent")]).unpivot(keys, ["ws", "trend", "ec", "latent"], "dominant", "share")
+    real = share(I.memberships(I.dimension_scores(ind)), ["phase"]).withColumnRenamed("share", "real")
+    keys = ["phase", "rep"]
+    null = share(I.memberships(I.dimension_scores(permuted(ind, reps, blocks or {i: [i] for i in I.INDICATORS}, seed), keys=keys), keys=keys), keys)
+    w = Window.partitionBy("phase", "dominant")
+    j = null.withColumn("mean", F.avg("share").over(w)).join(real, ["phase", "dominant"])
+    far = F.abs(F.col("share") - F.col("mean")) >= F.abs(F.col("real") - F.col("mean"))
+    a = j.groupBy("phase", "dominant", "real").agg(F.avg("share").alias("null_mean"), F.percentile("share", F.array(F.lit(0.025), F.lit(0.975))).alias("q"), F.avg(far.cast("double")).alias("p"), F.count(F.lit(1)).alias("reps"))
+    low, high = F.col("q")[0], F.col("q")[1]
+    return a.select("phase", "dominant", "real", "null_mean", low.alias("low"), high.alias("high"), "p", ((F.col("real") < low) | (F.col("real") > high)).alias("outside"), "reps")
+
+
+def criteria(values: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(phase, measure, k2, k4, k4_full, k4_rare, k5_r2, k5_ses, k6): quality of measures from their values on resamples.
+
+    ``values`` has (phase, topic, measure, sample, rep, value), ``sample`` being 'ref', 'half_a', 'half_b', 'rare' or 'null'; ``sizes``
+    (phase, topic, ln_n). k2: Spearman-Brown of the mean correlation of the halves; k4: Spearman of the measure with the size, and
+    of its mean over rarefactions with itself and with the size; k5: squared Pearson correlation with its mean over permutations
+    and the share of topics with |SES| above 2; k6: the largest |Spearman| with another measure. All on topics that have both values.
+    """
+    v = values.filter("value IS NOT NULL")
+    by = ["phase", "measure"]
+    pick = lambda s, c: v.filter(F.col("sample") == s).select(*by, "topic", "rep", F.col("value").alias(c))
+    halves = K.spearman(pick("half_a", "x").join(pick("half_b", "y"), [*by, "topic", "rep"]), [*by, "rep"], "x", "y", 3)
+    k2 = halves.groupBy(*by).agg(F.avg("rho").alias("r")).select(*by, F.when(F.col("r") > -1, 2 * F.col("r") / (1 + F.col("r"))).alias("k2"))
+    ref = pick("ref", "ref").drop("rep").join(sizes, ["phase", "topic"])
+    rare = pick("rare", "x").groupBy(*by, "topic").agg(F.avg("x").alias("rare")).join(ref, [*by, "topic"])
+    null = pick("null", "x").groupBy(*by, "topic").agg(F.avg("x").alias("e0"), F.stddev_samp("x").alias("s0")).join(ref, [*by, "topic"])
+    rho = lambda df, x, y, out: K.spearman(df, by, x, y, 3, out).drop("n")
+    r2 = F.when((F.count(F.lit(1)) > 10) & (F.stddev_pop("e0") > 0) & (F.stddev_pop("ref") > 0), F.pow(F.corr("ref", "e0"), 2))
+    k5 = null.groupBy(*by).agg(r2.alias("k5_r2"), F.avg((F.abs((F.col("ref") - F.col("e0")) / F.when(F.col("s0") > 0, F.col("s0"))) > 2).cast("double")).alias("k5_ses"))
+    other = ref.select("phase", "topic", F.col("measure").alias("other"), F.col("ref").alias("y"))
+    pairs = ref.select(*by, "topic", F.col("ref").alias("x")).join(other, ["phase", "topic"]).filter("measure <> other")
+    k6 = K.spearman(pairs, [*by, "other"], "x", "y", 11).groupBy(*by).agg(F.max(F.abs("rho")).alias("k6"))
+    out = ref.select(*by).distinct()
+    for part in (k2, rho(ref, "ref", "ln_n", "k4"), rho(rare, "rare", "ref", "k4_full"), rho(rare, "rare", "ln_n", "k4_rare"), k5, k6):
+        out = out.join(part, by, "left")
+    return out
+
+
+def verdicts(crit: DataFrame) -> DataFrame:
+    """The status of each criterion and of all; a correlation that is missing fails, but a missing K6 passes."""
+    lift = lambda ok: F.when(F.coalesce(ok, F.lit(False)), "met").otherwise("missed")
+    s2 = F.when(F.col("k2").isNull() | (F.col("k2") < 0.5), "missed").when(F.col("k2") < 0.75, "conditional").otherwise("good")
+    out = crit.withColumns({"s2": s2, "s4": lift(F.abs("k4") < 0.2), "s5": lift(F.col("k5_r2") <= 0.5), "s6": lift(F.coalesce("k6", F.lit(0.0)) <= 0.9)})
+    return out.withColumn("passed", ~F.array_contains(F.array("s2", "s4", "s5", "s6"), "missed"))
+
+
+def replication(verdict: DataFrame) -> DataFrame:
+    """(measure, first, second, k2_drop, outcome): a measure that passed in the first phase is replicated if it passes in the
+    second, weakened if only its reliability became conditional, else lost; one that failed is untested."""
+    side = lambda p, s: verdict.filter(F.col("phase") == p).select("measure", F.col("passed").alias(s), F.col("k2").alias(f"k2_{s}"), F.col("s2").alias(f"s2_{s}"))
+    j = side(1, "first").join(side(2, "second"), "measure")
+    outcome = F.when(~F.col("first"), "untested").when(~F.col("second"), "lost").when((F.col("s2_first") == "good") & (F.col("s2_second") == "conditional"), "weakened").otherwise("replicated")
+    return j.select("measure", "first", "second", (F.col("k2_first") - F.col("k2_second")).alias("k2_drop"), outcome.alias("outcome"))
 
 
 def split_halves(pub: DataFrame, reps: int = 50, seed: int = 42) -> DataFrame:

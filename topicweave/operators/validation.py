@@ -10,21 +10,42 @@ from pyspark.sql import types as T
 from topicweave.operators import kernels as K
 
 
-def reference_overlap(edges: DataFrame, docs: DataFrame, keys: list[str]) -> DataFrame:
+#: A reference that so many different sets of a group hold is paired by counts.
+HOT_REFERENCE = 1000
+
+
+def reference_overlap(edges: DataFrame, docs: DataFrame, keys: list[str], hot: int = HOT_REFERENCE) -> DataFrame:
     """(keys, n_refs, overlap): mean Jaccard of the reference sets of all pairs of records with references.
 
     Exact over all pairs without forming those that share nothing: pairs come from an equi-join on the shared reference, pairs
-    without one count 0 in the denominator. A reference of many records is the cost driver; records with the same set of
-    references are joined once, weighted by their number.
+    without one count 0 in the denominator, and records with the same set are joined once, weighted by their number. References of
+    at least ``hot`` sets of a group are not joined: of two sets that share hot references only, the Jaccard depends on
+    the hot ones they hold and on their sizes, so such pairs are products of counts by (hot references, size); pairs
+    that also share another reference come from the join, where the part counted before is taken off.
     """
     sets = edges.filter("uid_ref IS NOT NULL").select("uid", "uid_ref").distinct().groupBy("uid").agg(F.sort_array(F.collect_list("uid_ref")).alias("refs"))
     kinds = sets.join(docs, "uid").groupBy(*keys, "refs").agg(F.count(F.lit(1)).alias("m")).withColumn("id", F.xxhash64("refs")).withColumn("size", F.size("refs"))
     total = kinds.groupBy(*keys).agg(F.sum("m").alias("n"), F.sum(F.col("m") * (F.col("m") - 1) / 2.0).alias("same"))
     post = kinds.select(*keys, "id", "size", "m", F.explode("refs").alias("ref"))
-    a = post.select(*keys, "ref", *[F.col(c).alias(f"{c}_a") for c in ("id", "size", "m")])
-    b = post.select(*keys, "ref", *[F.col(c).alias(f"{c}_b") for c in ("id", "size", "m")])
-    pairs = a.join(b, [*keys, "ref"]).filter("id_a < id_b").groupBy(*keys, "id_a", "id_b", "size_a", "size_b", "m_a", "m_b").agg(F.count(F.lit(1)).alias("c"))
-    s = pairs.groupBy(*keys).agg(F.sum(F.col("m_a") * F.col("m_b") * F.col("c") / (F.col("size_a") + F.col("size_b") - F.col("c"))).alias("s"))
+    of_many = post.groupBy(*keys, "ref").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") >= hot).select(*keys, "ref", F.lit(True).alias("is_hot"))
+    post = post.join(of_many, [*keys, "ref"], "left")
+    held = post.filter("is_hot").groupBy(*keys, "id", "size", "m").agg(F.sort_array(F.collect_list("ref")).alias("hot"))
+    none = F.array().cast("array<string>")
+    cold = post.filter("is_hot IS NULL").join(held.select(*keys, "id", "hot"), [*keys, "id"], "left").withColumn("hot", F.coalesce("hot", none))
+    a = cold.select(*keys, "ref", *[F.col(c).alias(f"{c}_a") for c in ("id", "size", "m", "hot")])
+    b = cold.select(*keys, "ref", *[F.col(c).alias(f"{c}_b") for c in ("id", "size", "m", "hot")])
+    pairs = a.join(b, [*keys, "ref"]).filter("id_a < id_b").groupBy(*keys, "id_a", "id_b", "size_a", "size_b", "m_a", "m_b", "hot_a", "hot_b").agg(F.count(F.lit(1)).alias("cold"))
+    jaccard = lambda c, x, y: c / (x + y - c)
+    both = F.size(F.array_intersect("hot_a", "hot_b"))
+    gain = jaccard(F.col("cold") + both, F.col("size_a"), F.col("size_b")) - jaccard(both, F.col("size_a"), F.col("size_b"))
+    s = pairs.groupBy(*keys).agg(F.sum(F.col("m_a") * F.col("m_b") * gain).alias("s"))
+    g = held.groupBy(*keys, "hot", "size").agg(F.sum("m").cast("double").alias("m"), F.sum(F.col("m") * F.col("m")).cast("double").alias("sq")).withColumn("id", F.xxhash64("hot", "size"))
+    within = g.groupBy(*keys).agg(F.sum((F.col("m") * F.col("m") - F.col("sq")) / 2.0 * jaccard(F.size("hot"), F.col("size"), F.col("size"))).alias("s"))
+    x = g.select(*keys, F.explode("hot").alias("ref"), *[F.col(c).alias(f"{c}_a") for c in ("id", "size", "m", "hot")])
+    y = g.select(*keys, F.explode("hot").alias("ref"), *[F.col(c).alias(f"{c}_b") for c in ("id", "size", "m", "hot")])
+    met = x.join(y, [*keys, "ref"]).filter("id_a < id_b").filter(F.array_intersect("hot_a", "hot_b")[0] == F.col("ref"))  # each pair of groups once
+    across = met.groupBy(*keys).agg(F.sum(F.col("m_a") * F.col("m_b") * jaccard(both, F.col("size_a"), F.col("size_b"))).alias("s"))
+    s = s.unionByName(within).unionByName(across).groupBy(*keys).agg(F.sum("s").alias("s"))
     v = F.when(F.col("n") < 2, F.lit(0.0)).otherwise((F.col("same") + F.coalesce("s", F.lit(0.0))) / (F.col("n") * (F.col("n") - 1) / 2.0))
     return total.join(s, keys, "left").select(*keys, F.col("n").alias("n_refs"), v.alias("overlap"))
 
@@ -173,7 +194,7 @@ def effective_candidates(scores: DataFrame) -> DataFrame:
 
 
 def flag_overlap(scores: DataFrame, scales: list[str]) -> DataFrame:
-    """(flag, a, b, both, jaccard): sizes and overlap of the topics that two scales mark."""
+    """(flag, a, b, common, jaccard): sizes and overlap of the topics that two scales mark."""
     long = K.unpivot(scores, ["topic1", "topic2"], scales, "scale", "v")
     q99 = long.groupBy("scale").agg(F.percentile("v", 0.99).alias("q"))
     first = long.groupBy("scale", F.col("topic1").alias("topic")).agg(F.max("v").alias("h")).join(q99, "scale").filter("h < q").select(F.lit("below_q99").alias("flag"), "scale", "topic")
@@ -183,9 +204,9 @@ def flag_overlap(scores: DataFrame, scales: list[str]) -> DataFrame:
     in_scale = lambda s: F.max((F.col("scale") == s).cast("int"))
     per = first.unionByName(second).groupBy("flag", "topic").agg(in_scale(scales[0]).alias("a"), in_scale(scales[1]).alias("b"))
     every = scores.sparkSession.createDataFrame([("below_q99",), ("below_q25",)], "flag string")
-    n = every.join(per.groupBy("flag").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum(F.col("a") * F.col("b")).alias("both")), "flag", "left").na.fill(0)
-    union = F.col("a") + F.col("b") - F.col("both")
-    return n.select("flag", "a", "b", "both", F.when(union > 0, F.col("both") / union).alias("jaccard"))
+    n = every.join(per.groupBy("flag").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum(F.col("a") * F.col("b")).alias("common")), "flag", "left").na.fill(0)
+    union = F.col("a") + F.col("b") - F.col("common")
+    return n.select("flag", "a", "b", "common", F.when(union > 0, F.col("common") / union).alias("jaccard"))
 
 
 def ratio_box(values: DataFrame, floor: float = 0.1) -> DataFrame:

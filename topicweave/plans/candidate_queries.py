@@ -11,7 +11,7 @@ from topicweave.operators import indicators as I
 from topicweave.operators.graph import reliable
 from topicweave.plans import fixtures as X
 from topicweave.plans.indicator_queries import CTE, MED, SHARE, TOPICS, W, gini_sql, query, rounded
-from topicweave.plans.prepare_queries import FINDS, SENTENCES
+from topicweave.plans.prepare_queries import FINDS, SENTENCES, phrases_of
 
 def _simpson(name: str, kind: str) -> list[str]:
     return [X.terms_sql(kind), f"{name}_x AS (SELECT phase, topic, uid, term, count(*) AS n FROM {kind} WHERE topic >= 0 GROUP BY 1, 2, 3, 4)",
@@ -151,6 +151,12 @@ def _novel(spark, d):
     return rounded(C.term_novelty(X.terms(X.pub(spark, d), "kw")))
 
 
+@query("cand_ds2_a3_text_novelty")
+def _novel_text(spark, d):
+    """C14, W10 on the phrases of title and abstract; the query above has it for keywords, with SQL."""
+    return rounded(C.term_novelty(phrases_of(X.pub(spark, d).select("uid", *I.KEYS, "year", "title", "abstract"))))
+
+
 @query("cand_ds3_a1_review_tail")
 def _tail(spark, d):
     return rounded(C.review_tail(X.pub(spark, d)))

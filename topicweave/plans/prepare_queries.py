@@ -138,13 +138,21 @@ def _sent(spark, d):
     return s.withColumn("finding", T.is_finding(F.col("sentence")))
 
 
+# Words that end a run of content words.
+STOP = "a an and are as at be been by for from has have in into is it its of on or that the to under up we with without which".split()
+
+
+def phrases_of(p):
+    """The rows of ``p`` without texts, one per different phrase (``term``) of title and abstract."""
+    of = lambda c: F.coalesce(T.phrases(F.col(c), STOP), F.array().cast("array<string>"))
+    return p.withColumn("term", F.explode(F.array_distinct(F.concat(of("title"), of("abstract"))))).drop("title", "abstract")
+
+
 @query("scalar_phrases")
 def _phr(spark, d):
     """S17f: phrases of title and abstract."""
-    stop = "a an and are as at be been by for from has have in into is it its of on or that the to under up we with without which".split()
-    of = lambda c: F.coalesce(T.phrases(F.col(c), stop), F.array().cast("array<string>"))
-    p = X.pub(spark, d).select("uid", F.explode(F.array_distinct(F.concat(of("title"), of("abstract")))).alias("phrase"))
-    return p.groupBy("phrase").agg(F.count(F.lit(1)).alias("n"))
+    p = phrases_of(X.pub(spark, d).select("uid", "title", "abstract"))
+    return p.groupBy(F.col("term").alias("phrase")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("scalar_json_report", "WITH " + X.PUB + " SELECT phase, count(*) AS n, round(avg(rtw), 6) AS rtw FROM pub GROUP BY 1")

@@ -100,6 +100,69 @@ def _c13(spark, d):
     return rounded(S.time_permutation_ses(p, X.terms(p, "kw")))
 
 
+@query("resample_time_permutation_years")
+def _c13y(spark, d):
+    """DS2_A1, from the keywords of neighbouring years."""
+    p = X.pub(spark, d)
+    return rounded(S.time_permutation_ses(p, X.terms(p, "kw"), mode="years", out="ds2_a1"))
+
+
+@query("resample_time_permutation_phrases")
+def _c13p(spark, d):
+    """DS2_A2, from the phrases of title and abstract."""
+    from topicweave.plans.prepare_queries import phrases_of
+
+    p = X.pub(spark, d)
+    return rounded(S.time_permutation_ses(p, phrases_of(p.select("uid", *I.KEYS, "year", "title", "abstract")), mode="years", out="ds2_a2"))
+
+
+@query("resample_class_shares")
+def _m19(spark, d):
+    """M19."""
+    return rounded(S.class_shares_against_null(reliable(indicators16(spark, d))))
+
+
+def _measures(df, keys):
+    """Means over records that serve as measures here: citations, rate of citations, vitality, single country, review."""
+    age = F.greatest(F.lit(2026) - F.col("year"), F.lit(1))
+    a = df.groupBy(*keys).agg(
+        F.avg(F.col("times_cited").cast("double")).alias("citations"), F.avg(F.col("times_cited") / age).alias("rate"), F.avg(1.0 / age).alias("vitality"),
+        F.avg((F.col("country_count") == 1).cast("double")).alias("single_country"), F.avg(I.is_review(F.col("doc_type")).cast("double")).alias("review"))
+    return a.unpivot(keys, ["citations", "rate", "vitality", "single_country", "review"], "measure", "value")
+
+
+def _criteria(spark, d):
+    p = I.topics(X.pub(spark, d)).select("uid", *I.KEYS, "year", "times_cited", "country_count", "doc_type")
+    p = reliable(p)
+    halves = _measures(S.split_halves(p), ["rep", "half", *I.KEYS]).withColumn("sample", F.when(F.col("half") == 0, "half_a").otherwise("half_b")).drop("half")
+    rare = _measures(S.rarefied(p.select("uid", *I.KEYS)).join(p, ["uid", *I.KEYS]), ["rep", *I.KEYS]).withColumn("sample", F.lit("rare"))
+    # permuted: topics are drawn anew among the records of a phase, sizes kept in expectation
+    n = p.groupBy("phase").agg(F.count(F.lit(1)).alias("n"))
+    spans = p.groupBy(*I.KEYS).agg(F.count(F.lit(1)).alias("k")).join(n, "phase")
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("phase").orderBy("topic").rowsBetween(Window.unboundedPreceding, 0)  # a row per topic
+    spans = spans.withColumn("to", F.sum("k").over(w) / F.col("n")).groupBy("phase").agg(F.sort_array(F.collect_list(F.struct("to", "topic"))).alias("ends"))
+    drawn = S.replicates(p, 20).withColumn("u", S.uniform(F.lit(7), "rep", "uid")).join(spans, "phase")
+    drawn = drawn.withColumn("topic", F.get(F.filter("ends", lambda e: F.col("u") <= e["to"]), F.lit(0))["topic"]).drop("ends", "u").filter("topic IS NOT NULL")
+    null = _measures(drawn, ["rep", *I.KEYS]).withColumn("sample", F.lit("null"))
+    ref = _measures(p, I.KEYS).withColumn("rep", F.lit(0)).withColumn("sample", F.lit("ref"))
+    values = reliable(ref.unionByName(halves).unionByName(rare).unionByName(null))
+    return S.verdicts(S.criteria(values, p.groupBy(*I.KEYS).agg(F.log(F.count(F.lit(1))).alias("ln_n"))))
+
+
+@query("resample_criteria")
+def _c23(spark, d):
+    """Reliability, dependence on size, null model and redundancy of five measures, and their status."""
+    return rounded(_criteria(spark, d))
+
+
+@query("resample_replication")
+def _p19(spark, d):
+    """Which measures that passed in the first phase pass in the second."""
+    return rounded(S.replication(_criteria(spark, d)))
+
+
 @query("resample_split_half")
 def _m22(spark, d):
     """Reliability of the mean citations of topics over split halves."""

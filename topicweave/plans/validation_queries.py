@@ -549,10 +549,10 @@ def _b24n(spark, d):
 
 _FLAG = [*_PAIR[:-1], "fq AS (SELECT 'cosine' AS scale, topic1, topic2, round(cosine, 9) AS v FROM ps UNION ALL SELECT 'jaccard', topic1, topic2, round(jaccard, 9) FROM ps)", "f99 AS (SELECT scale, quantile_cont(v, 0.99) AS q FROM fq GROUP BY 1)", "fb AS (SELECT scale, topic1, max(v) AS h FROM fq GROUP BY 1, 2)",
          "fl AS (SELECT scale, topic1 AS topic FROM fb JOIN f99 USING (scale) WHERE h < q)", "fm AS (SELECT scale, topic2, max(v) AS h FROM fq GROUP BY 1, 2)", "fz AS (SELECT scale, topic2 AS topic FROM fm JOIN (SELECT scale, quantile_cont(h, 0.25) AS q FROM fm GROUP BY 1) USING (scale) WHERE h < q)"]
-_SETS = lambda name, src: f"SELECT '{name}' AS flag, (SELECT count(*) FROM {src} WHERE scale = 'cosine') AS a, (SELECT count(*) FROM {src} WHERE scale = 'jaccard') AS b, (SELECT count(*) FROM (SELECT topic FROM {src} WHERE scale = 'cosine' INTERSECT SELECT topic FROM {src} WHERE scale = 'jaccard')) AS both"
+_SETS = lambda name, src: f"SELECT '{name}' AS flag, (SELECT count(*) FROM {src} WHERE scale = 'cosine') AS a, (SELECT count(*) FROM {src} WHERE scale = 'jaccard') AS b, (SELECT count(*) FROM (SELECT topic FROM {src} WHERE scale = 'cosine' INTERSECT SELECT topic FROM {src} WHERE scale = 'jaccard')) AS common"
 
 
-@query("set_flag_overlap", W(*_FLAG) + "SELECT flag, a, b, both, round(both / CAST(nullif(a + b - both, 0) AS DOUBLE), 6) AS jaccard FROM (" + _SETS("below_q99", "fl") + " UNION ALL " + _SETS("below_q25", "fz") + ")")
+@query("set_flag_overlap", W(*_FLAG) + "SELECT flag, a, b, common, round(common / CAST(nullif(a + b - common, 0) AS DOUBLE), 6) AS jaccard FROM (" + _SETS("below_q99", "fl") + " UNION ALL " + _SETS("below_q25", "fz") + ")")
 def _b25(spark, d):
     """Topics that the scales of cosine and of keywords mark alike: best score below the 0.99 quantile of all pairs (first phase),
     and below the lower quartile of the best scores (second phase)."""
