@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def reliable(df: DataFrame, eager: bool = True) -> DataFrame:
-    """``df`` written to the shared checkpoint folder, its lineage cut.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate tables that all executors share: the session's ``spark.checkpoint.dir``.
 
-    The folder is the session's ``spark.checkpoint.dir``. Only where neither that setting nor a folder on the context exists,
-    as in local tests, a temporary one is made; on a cluster the setting must name a folder that all executors share.
+    Only a local session without that setting, as in a test, gets a folder of its own, which goes when Python ends; on a cluster the
+    setting must be there.
     """
-    spark = SparkSession.getActiveSession() or df.sparkSession
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
@@ -22,7 +23,14 @@ def reliable(df: DataFrame, eager: bool = True) -> DataFrame:
             if sc.master != "local" and not sc.master.startswith("local["):
                 raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="topicweave-checkpoint-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
         sc.setCheckpointDir(folder)
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def reliable(df: DataFrame, eager: bool = True) -> DataFrame:
+    """``df`` written to the shared folder, its lineage cut."""
+    shared_folder(SparkSession.getActiveSession() or df.sparkSession)
     return df.checkpoint(eager=eager)
 
 

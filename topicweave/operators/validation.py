@@ -215,3 +215,12 @@ def ratio_box(values: DataFrame, floor: float = 0.1) -> DataFrame:
     lifted = F.greatest(F.col("ratio"), F.lit(floor))
     a = r.groupBy("phase").agg(F.count(F.lit(1)).alias("n"), F.percentile(lifted, F.array(*[F.lit(x) for x in (0.05, 0.25, 0.75, 0.95)])).alias("q"), F.percentile("ratio", 0.5).alias("median"), F.count_if(F.col("ratio") < 1.0).alias("below"))
     return a.select("phase", "n", F.col("q")[0].alias("low"), F.col("q")[1].alias("q25"), "median", F.col("q")[2].alias("q75"), F.col("q")[3].alias("high"), "below")
+
+
+def join_first_key(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """``left`` with the columns of ``right`` by the first of ``keys`` that both have; other columns of ``right`` that ``left`` has too are
+    left out. No common key is an error; null keys meet nothing."""
+    key = next((k for k in keys if k in left.columns and k in right.columns), None)
+    if key is None:
+        raise ValueError(f"none of {keys} is in both tables")
+    return left.join(right.select(key, *[c for c in right.columns if c not in left.columns]), key, "left")

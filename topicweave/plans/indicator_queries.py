@@ -96,8 +96,8 @@ CTE["ip3"] = entropy_sql("ip3", "kwp", 5, 0.5)
 class Parts:
     """The indicators of a folder's tables by name; ``kept`` writes the newest records once for all of them."""
 
-    def __init__(self, spark: SparkSession, d: str, kept: bool = False) -> None:
-        self.spark, self.d, self.pub = spark, d, X.pub(spark, d)
+    def __init__(self, spark: SparkSession, d: str, kept: bool = False, pub: DataFrame | None = None) -> None:
+        self.spark, self.d, self.pub = spark, d, X.pub(spark, d) if pub is None else pub
         if kept:
             used = ["uid", "row_id", "phase", "topic", "year", "doc_type", "source_title", "times_cited", *[c for c, _, _ in X.LISTS.values()], F.length("abstract").alias("size")]
             self.pub = reliable(self.pub.select(*used))

@@ -25,10 +25,11 @@ def _canon(spark, d):
 
 
 _BL = r"[\s\x1c-\x1f\x85\p{Z}]+"
-_TXT = f"trim(regexp_replace(regexp_replace(lower(concat(coalesce(title, ''), '. ', coalesce(abstract, ''))), '[^a-z0-9\\s-]', ' ', 'g'), '{_BL}', ' ', 'g'))"
+#: Title and abstract as the topic steps read them.
+TEXT_SQL = f"trim(regexp_replace(regexp_replace(lower(concat(coalesce(title, ''), '. ', coalesce(abstract, ''))), '[^a-z0-9\\s-]', ' ', 'g'), '{_BL}', ' ', 'g'))"
 
 
-@query("prep_corpus", W(f"cp AS (SELECT uid, phase, year, {_TXT} AS text FROM pub WHERE year BETWEEN 2000 AND 2025 AND length(trim(abstract)) > 0)") + "SELECT uid, phase, year, text FROM cp WHERE len(list_filter(string_split(text, ' '), lambda x: x <> '')) >= 10")
+@query("prep_corpus", W(f"cp AS (SELECT uid, phase, year, {TEXT_SQL} AS text FROM pub WHERE year BETWEEN 2000 AND 2025 AND length(trim(abstract)) > 0)") + "SELECT uid, phase, year, text FROM cp WHERE len(list_filter(string_split(text, ' '), lambda x: x <> '')) >= 10")
 def _corpus(spark, d):
     """IO5, P3-P5, S6f, S7f, S18f."""
     return R.corpus(X.pub(spark, d), 2000, 2025)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from topicweave.operators import split_values as sv
-from topicweave.plans import candidate_queries, indicator_queries, prepare_queries, resample_queries, validation_queries  # noqa: F401 (they fill the tables of queries)
+from topicweave.plans import candidate_queries, indicator_queries, io_queries, prepare_queries, resample_queries, stability_queries, validation_queries  # noqa: F401 (they fill the tables of queries)
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:

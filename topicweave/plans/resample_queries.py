@@ -11,7 +11,7 @@ from topicweave.operators import kernels as K
 from topicweave.operators import matching as M
 from topicweave.operators import multivariate as N
 from topicweave.operators import resample as S
-from topicweave.operators.graph import reliable
+from topicweave.operators.graph import reliable, shared_folder
 from topicweave.plans import fixtures as X
 from topicweave.plans.indicator_queries import DIM_SQL, MEM_SQL, TOPICS, W, classified, indicators16, query, rounded, scored
 from topicweave.plans.validation_queries import _PAIR, _scores
@@ -298,8 +298,6 @@ def _stream_input(spark, d) -> str:
     """The newest deliveries as a table in the shared folder."""
     import uuid
 
-    reliable(spark.range(1))  # sets the checkpoint folder where a test has none
-    root = spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    folder = f"{root}/stream-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     X.pub(spark, d).select("uid", "phase", "topic", F.col("year").cast("int").alias("year"), "loaded_at").write.parquet(folder)
     return folder

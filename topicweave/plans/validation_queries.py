@@ -12,6 +12,7 @@ from topicweave.operators import temporal as P
 from topicweave.operators import validation as V
 from topicweave.operators.graph import reliable
 from topicweave.plans import fixtures as X
+from topicweave.plans.prepare_queries import TEXT_SQL
 from topicweave.plans.indicator_queries import IND_SQL, MEM_SQL, RATE, TOPICS, W, classified, indicators16, query, rounded
 
 _SHN = """sn AS (SELECT s.phase, s.topic, y.year, coalesce(n, 0) / CAST(total AS DOUBLE) AS share FROM (SELECT DISTINCT phase, topic FROM pub WHERE topic >= 0 AND year IS NOT NULL) s
@@ -326,7 +327,7 @@ def _b17(spark, d):
     return rounded(a.withColumn("diversity", F.col("kinds") / F.col("total")))
 
 
-# --- term weights of whole texts; SQL has no counterpart here, the queries above give it for titles
+# --- term weights of whole texts
 # Function words that no term holds.
 STOP = "a about above across after again against all almost along already also although always am among an and another any are around as at be became because become been before being below between both but by can cannot could did do does doing done down due during each either else ever every few first for from further had has have having he her here hers him his how however i if in indeed into is it its itself last least less made many may me might more moreover most much must my neither never no nor not nothing now of off often on once one only onto or other others otherwise our ours out over own per perhaps rather same seem she should since so some still such than that the their them then there therefore these they this those through throughout thus to together too toward towards two under until up upon us very via was we well were what when where whether which while who whose why will with within without would yet you your".split()
 
@@ -348,13 +349,19 @@ def text_ngrams(spark, d):
     return w.select("uid", *I.KEYS, F.concat("w", pairs).alias("words"))
 
 
-def _text_tops(words):
+def _text_tops(words, n=10):
     c = reliable(V.term_counts(words, I.KEYS, "words"))
     kept = c.groupBy("term").agg(F.sum("df").alias("df")).filter("df >= 2").select("term")
-    return V.class_tfidf_of_counts(c.filter("topic >= 0").join(kept, "term").select(*I.KEYS, "term", "n"), I.KEYS, "term")
+    return V.class_tfidf_of_counts(c.filter("topic >= 0").join(kept, "term").select(*I.KEYS, "term", "n"), I.KEYS, "term", n)
 
 
-@query("valid_text_tfidf_terms")
+_DOCS = f"dx AS (SELECT * FROM (SELECT uid, phase, topic, {TEXT_SQL} AS text FROM pub WHERE year BETWEEN 2000 AND 2025) WHERE len(list_filter(string_split(text, ' '), lambda x: x <> '')) >= 10)"
+_TOKX = [_DOCS, "tk AS (SELECT uid, phase, topic, unnest(regexp_extract_all(text, '\\b[a-z][a-z0-9-]+\\b')) AS term FROM dx)"]
+_STOP = ", ".join(f"'{w}'" for w in STOP)
+_TOKN = [_DOCS, f"tw AS (SELECT uid, phase, topic, list_filter(regexp_extract_all(text, '\\b\\w\\w+\\b'), lambda x: x NOT IN ({_STOP})) AS w FROM dx)", "tk AS (SELECT uid, phase, topic, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM tw)"]
+
+
+@query("valid_text_tfidf_terms", W(*_TOKN, *_TFIDF).replace("(SELECT count(DISTINCT uid) AS total FROM tk)", "(SELECT count(*) AS total FROM dx)") + "SELECT phase, topic, term, round(score, 5) AS score FROM (SELECT *, row_number() OVER (PARTITION BY phase, topic ORDER BY score DESC, term) AS k FROM ws) WHERE k <= 15")
 def _b14_text(spark, d):
     """B14 on title and abstract, single words and pairs."""
     docs = text_ngrams(spark, d)
@@ -364,13 +371,13 @@ def _b14_text(spark, d):
     return rounded(top.filter("topic >= 0").select(*I.KEYS, "term", "score"), digits=5)
 
 
-@query("valid_text_class_tfidf")
+@query("valid_text_class_tfidf", W(*_TOKX, *_CT) + "SELECT phase, topic, term, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM cr WHERE rank <= 10")
 def _b15_text(spark, d):
     """B15 on title and abstract."""
     return rounded(_text_tops(text_words(spark, d)))
 
 
-@query("valid_text_coherence")
+@query("valid_text_coherence", W(*_TOKX, *_CT, *_COH).replace("nd AS (SELECT count(DISTINCT uid) AS total FROM tk)", "nd AS (SELECT count(*) AS total FROM dx)") + f"SELECT phase, topic, round(avg(ln((c + 1.0) / da)), 6) AS u_mass, {_NPMI} AS npmi FROM pp GROUP BY 1, 2")
 def _b16_text(spark, d):
     """B16 on title and abstract."""
     words = text_words(spark, d)
@@ -379,10 +386,11 @@ def _b16_text(spark, d):
     return rounded(V.cooccurrence_coherence(reliable(held), tops, I.KEYS, "uid", "term", documents(spark, d).count()))
 
 
-@query("valid_text_diversity")
+@query("valid_text_diversity", W(*_TOKX, *_CT) + "SELECT phase, 'top_' || k AS tops, count(DISTINCT term) AS kinds, count(*) AS total, round(count(DISTINCT term) / CAST(count(*) AS DOUBLE), 6) AS diversity FROM cr, (VALUES (10), (100)) v(k) WHERE rank <= k GROUP BY 1, 2")
 def _b17_text(spark, d):
-    """B17 on title and abstract."""
-    a = _text_tops(text_words(spark, d)).groupBy("phase").agg(F.countDistinct("term").alias("kinds"), F.count(F.lit(1)).alias("total"))
+    """B17 on title and abstract, of the ten and of the hundred best terms of each topic."""
+    t = _text_tops(text_words(spark, d), 100).withColumn("k", F.explode(F.array(F.lit(10), F.lit(100)))).filter("rank <= k")
+    a = t.groupBy("phase", F.concat(F.lit("top_"), F.col("k").cast("string")).alias("tops")).agg(F.countDistinct("term").alias("kinds"), F.count(F.lit(1)).alias("total"))
     return rounded(a.withColumn("diversity", F.col("kinds") / F.col("total")))
 
 

@@ -101,10 +101,10 @@ def read_lexicon(spark: SparkSession, path: str) -> DataFrame:
     return out.withColumn("phrase", F.lower("phrase")).withColumn("words", F.size(F.split("phrase", " ")))
 
 
-def read_replicates(spark: SparkSession, pattern: str, schema: str) -> DataFrame:
-    """IO18, U2: files of replicates as one table with the file's stem as ``replicate``."""
-    name = F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.[^./]*)?$", 1)
-    return spark.read.schema(schema).csv(pattern, header=True).withColumn("replicate", name)
+def read_replicates(spark: SparkSession, pattern: str, schema: str, folder: bool = False) -> DataFrame:
+    """IO18, U2: files of replicates as one table with the file's stem, or that of its folder, as ``replicate``."""
+    name = F.element_at(F.split(F.input_file_name(), "/"), -2 if folder else -1)
+    return spark.read.schema(schema).csv(pattern, header=True).withColumn("replicate", F.regexp_replace(name, r"\.[^.]*$", ""))
 
 
 def write_table(df: DataFrame, path: str, partition: str | None = None, mode: str = "overwrite") -> None:
