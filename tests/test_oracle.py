@@ -10,8 +10,6 @@ import pytest
 from topicweave.plans import queries as core
 
 SQL = core.oracle_sql()
-#: One of these stands for the others that start from the same indicator matrix, which takes long to build.
-SLOW = {"agg_dimension_scores", "valid_migration_cells", "fig_margin_histogram", "fig_class_profiles", "fig_margin_classes", "fig_weak_signals", "join_semi_both_phases", "grid_k_lambda"}
 
 
 @pytest.fixture(scope="module")
@@ -35,6 +33,6 @@ def rows(df):
     return sorted(([plain(v) for v in r] for r in df[c].itertuples(index=False)), key=lambda r: [str(x) for x in r])
 
 
-@pytest.mark.parametrize("name", sorted(set(SQL) - SLOW))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_same_rows(spark, data, duck, name):
     assert rows(core.queries()[name](spark, data).toPandas()) == rows(duck.sql(SQL[name]).df())
