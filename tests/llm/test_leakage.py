@@ -65,3 +65,11 @@ def test_empty(spark):
     e = spark.createDataFrame([], "doc_id long, text string")
     t = spark.createDataFrame([], "item_id long, passage string")
     assert L.leaks(e, "doc_id", "text", t, "item_id", "passage").count() == 0
+
+
+def test_both_ways_give_the_same_rows(spark, data, monkeypatch):
+    docs, items = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/eval_items.parquet")
+    run = lambda: {tuple(r) for r in L.leaks(docs, "doc_id", "text", items, "item_id", "passage").collect()}
+    sent = run()
+    monkeypatch.setattr(L, "MAX_SENT", 0)
+    assert sent == run() and sent

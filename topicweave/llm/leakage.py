@@ -123,7 +123,7 @@ def leaks(corpus: DataFrame, doc: str, text: str, tests: DataFrame, item: str, p
     t_distinct = t.select("print").distinct()
     wanted = None
     if t_distinct.count() <= MAX_SENT:
-        wanted = np.sort(np.array([r[0] for r in t_distinct.collect()], np.int64))
+        wanted = np.sort(t_distinct.toArrow().column("print").to_numpy())
         if not len(wanted):
             wanted = np.array([0], np.int64)
     c = _prints(corpus, doc, text, 2, wanted)
