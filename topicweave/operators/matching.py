@@ -21,13 +21,21 @@ def cosine(a, b):
     return F.when(norm > 0, dot(a, b) / norm).otherwise(0.0)
 
 
+#: Topics of the second phase meet those of the first in so many blocks, a task each.
+BLOCKS = 64
+
+
 def pair_scores(vectors: DataFrame, keywords: DataFrame) -> DataFrame:
-    """(topic1, topic2, cosine, jaccard) of all topic pairs of two phases. One row per topic on either side, so the pairing
-    is of topics, never of records; ``keywords`` has (phase, topic, terms)."""
+    """(topic1, topic2, cosine, jaccard) of all topic pairs of two phases; ``keywords`` has (phase, topic, terms).
+
+    One row per topic on either side, so the pairing is of topics, never of records. Topics of the second phase are spread over
+    blocks by hash and each topic of the first visits all of them, so the pairs are spread too.
+    """
     t = centroids(vectors.filter("topic >= 0"), ["phase", "topic"]).join(keywords, ["phase", "topic"], "left")
-    a = t.filter("phase = 1").select(F.col("topic").alias("topic1"), F.col("centroid").alias("c1"), F.coalesce("terms", F.array().cast("array<string>")).alias("k1"), F.lit(1).alias("one"))
-    b = t.filter("phase = 2").select(F.col("topic").alias("topic2"), F.col("centroid").alias("c2"), F.coalesce("terms", F.array().cast("array<string>")).alias("k2"), F.lit(1).alias("one"))
-    return a.join(b, "one").select("topic1", "topic2", cosine(F.col("c1"), F.col("c2")).alias("cosine"), K.jaccard(F.col("k1"), F.col("k2")).alias("jaccard"))
+    none = F.array().cast("array<string>")
+    a = t.filter("phase = 1").select(F.col("topic").alias("topic1"), F.col("centroid").alias("c1"), F.coalesce("terms", none).alias("k1"), F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("block"))
+    b = t.filter("phase = 2").select(F.col("topic").alias("topic2"), F.col("centroid").alias("c2"), F.coalesce("terms", none).alias("k2"), F.pmod(F.xxhash64("topic"), F.lit(BLOCKS)).cast("int").alias("block"))
+    return a.join(b, "block").select("topic1", "topic2", cosine(F.col("c1"), F.col("c2")).alias("cosine"), K.jaccard(F.col("k1"), F.col("k2")).alias("jaccard"))
 
 
 def best_matches(scores: DataFrame, alpha: float = 0.6) -> DataFrame:

@@ -22,6 +22,11 @@ def uniform(*parts) -> Column:
     return (F.pmod(F.xxhash64(*parts), F.lit(2**53 - 111)) + 0.5) / float(2**53 - 111)
 
 
+def draw_key(*parts) -> Column:
+    """A text that orders rows at random, the same in any engine that has MD5."""
+    return F.md5(F.concat_ws("|", *[p.cast("string") if isinstance(p, Column) else F.col(p).cast("string") for p in parts]))
+
+
 def normal(*parts) -> Column:
     """A standard normal number from the hash of the parts (Box-Muller)."""
     return F.sqrt(-2.0 * F.log(uniform(F.lit("r"), *parts))) * F.cos(2.0 * math.pi * uniform(F.lit("a"), *parts))
@@ -250,7 +255,8 @@ def replication(verdict: DataFrame) -> DataFrame:
 
 def split_halves(pub: DataFrame, reps: int = 50, seed: int = 42) -> DataFrame:
     """Every record in half 0 or 1 of each replicate, by hash; balanced in expectation, without sorting."""
-    return replicates(pub, reps).withColumn("half", F.pmod(F.xxhash64(F.lit(seed), "rep", "uid"), F.lit(2)).cast("int"))
+    digit = F.conv(F.substring(draw_key(F.lit(seed), "rep", "uid"), 1, 1), 16, 10).cast("int")
+    return replicates(pub, reps).withColumn("half", (digit % 2).cast("int"))
 
 
 def split_half_reliability(values: DataFrame, value: str) -> DataFrame:
@@ -263,7 +269,7 @@ def split_half_reliability(values: DataFrame, value: str) -> DataFrame:
 
 def rarefied(pub: DataFrame, m: int = 25, reps: int = 30, seed: int = 42) -> DataFrame:
     """M records of each topic per replicate, those of smallest hash. Slices by hash are cut to m first, so no topic is sorted whole."""
-    r = replicates(I.topics(pub), reps).withColumn("h", F.xxhash64(F.lit(seed), "rep", "uid")).withColumn("part", F.pmod("h", F.lit(32)))
+    r = replicates(I.topics(pub), reps).withColumn("h", draw_key(F.lit(seed), "rep", "uid")).withColumn("part", F.substring("h", -2, 2))
     r = r.withColumn("k", F.row_number().over(Window.partitionBy(*I.KEYS, "rep", "part").orderBy("h", "uid"))).filter(F.col("k") <= m)
     return r.withColumn("k", F.row_number().over(Window.partitionBy(*I.KEYS, "rep").orderBy("h", "uid"))).filter(F.col("k") <= m).drop("k", "part", "h")
 
@@ -283,7 +289,7 @@ def cross_validation_folds(df: DataFrame, size: str, folds: int = 5, repeats: in
     w = Window.partitionBy("phase")
     t = df.withColumn("r", F.row_number().over(w.orderBy(size, "topic"))).withColumn("n", F.count(F.lit(1)).over(w))
     t = t.withColumn("tercile", F.when(F.col("r") <= F.col("n") / 3.0, 0).when(F.col("r") <= 2 * F.col("n") / 3.0, 1).otherwise(2)).drop("r", "n")
-    return replicates(t, repeats, "repeat").withColumn("fold", F.pmod(F.row_number().over(Window.partitionBy("phase", "repeat", "tercile").orderBy(F.xxhash64(F.lit(seed), "repeat", "topic"), "topic")), F.lit(folds)).cast("int"))
+    return replicates(t, repeats, "repeat").withColumn("fold", F.pmod(F.row_number().over(Window.partitionBy("phase", "repeat", "tercile").orderBy(draw_key(F.lit(seed), "repeat", "topic"), "topic")), F.lit(folds)).cast("int"))
 
 
 def random_weights(scored: DataFrame, reps: int = 1000, seed: int = 42) -> DataFrame:

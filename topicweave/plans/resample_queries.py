@@ -31,7 +31,17 @@ def _m9(spark, d):
     return rounded(S.k_lambda_grid(_base(spark, d), spark).select("phase", "topic", "k", "lam", *S.MEMBERSHIPS), *S.MEMBERSHIPS, digits=5)
 
 
-@query("grid_k_lambda_stability")
+def _rho_sql(c: str) -> str:
+    rank = lambda x: f"rank() OVER (PARTITION BY phase, k, lam ORDER BY {x}) + (count(*) OVER (PARTITION BY phase, k, lam, {x}) - 1) / 2.0"
+    return f"{rank('round(' + c + ', 12)')} AS r_{c}, {rank('round(b_' + c + ', 12)')} AS s_{c}"
+
+
+_GDOM = "CASE WHEN m_ws >= greatest(m_trend, m_ec, m_latent) THEN 'ws' WHEN m_trend >= greatest(m_ec, m_latent) THEN 'trend' WHEN m_ec >= m_latent THEN 'ec' ELSE 'latent' END"
+_GST = [*_GRID, f"gd AS (SELECT *, {_GDOM} AS dominant, list_sort([m_ws, m_trend, m_ec, m_latent], 'DESC')[1] - list_sort([m_ws, m_trend, m_ec, m_latent], 'DESC')[2] AS margin FROM gm)",
+        "gb AS (SELECT phase, topic, dominant AS b_dominant, margin AS b_margin, m_ws AS b_m_ws, m_trend AS b_m_trend, m_ec AS b_m_ec, m_latent AS b_m_latent FROM gd WHERE k = 1 AND lam = 0.5)", "gj AS (SELECT *, " + ", ".join(_rho_sql(c) for c in S.MEMBERSHIPS) + " FROM gd JOIN gb USING (phase, topic))"]
+
+
+@query("grid_k_lambda_stability", W(*_GST) + "SELECT phase, k, lam, round(avg(CASE WHEN dominant <> b_dominant THEN 1.0 ELSE 0.0 END), 6) AS changed, round(avg(margin - b_margin), 6) AS margin_shift, " + ", ".join(f"round(CASE WHEN count(*) >= 5 THEN corr(r_{c}, s_{c}) END, 6) AS rho_{c}" for c in S.MEMBERSHIPS) + " FROM gj GROUP BY 1, 2, 3")
 def _m16(spark, d):
     """Rank correlation of each cell with the base; the cell (1, 0.5) is the control and gives 1."""
     base = _base(spark, d)
@@ -163,14 +173,18 @@ def _p19(spark, d):
     return rounded(S.replication(_criteria(spark, d)))
 
 
-@query("resample_split_half")
+_HALF = [TOPICS, "sh2 AS (SELECT phase, topic, rep, ('0x' || substr(md5(concat_ws('|', 42, rep, uid)), 1, 1))::INT % 2 AS half, avg(CAST(times_cited AS DOUBLE)) AS v FROM tp, (SELECT unnest(range(1, 51)) AS rep) GROUP BY ALL)", "hp AS (SELECT a.phase, a.rep, a.v AS x, b.v AS y FROM sh2 a JOIN sh2 b ON a.phase = b.phase AND a.topic = b.topic AND a.rep = b.rep WHERE a.half = 0 AND b.half = 1 AND a.v IS NOT NULL AND b.v IS NOT NULL)",
+         "hr AS (SELECT phase, rep, rank() OVER (PARTITION BY phase, rep ORDER BY x) + (count(*) OVER (PARTITION BY phase, rep, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY phase, rep ORDER BY y) + (count(*) OVER (PARTITION BY phase, rep, y) - 1) / 2.0 AS ry FROM hp)", "hc AS (SELECT phase, rep, CASE WHEN count(*) >= 5 THEN corr(rx, ry) END AS rho FROM hr GROUP BY 1, 2)"]
+
+
+@query("resample_split_half", W(*_HALF) + "SELECT phase, round(avg(2 * rho / (1 + rho)), 6) AS reliability, count(rho) AS reps FROM hc GROUP BY 1")
 def _m22(spark, d):
     """Reliability of the mean citations of topics over split halves."""
     h = S.split_halves(X.pub(spark, d)).filter("topic >= 0").groupBy("rep", "half", *I.KEYS).agg(F.avg(F.col("times_cited").cast("double")).alias("v"))
     return rounded(S.split_half_reliability(h, "v"))
 
 
-@query("resample_rarefaction")
+@query("resample_rarefaction", W(TOPICS, X.terms_sql("kw"), "rd AS (SELECT phase, topic, uid, rep, row_number() OVER (PARTITION BY phase, topic, rep ORDER BY md5(concat_ws('|', 42, rep, uid)), uid) AS k FROM tp, (SELECT unnest(range(1, 31)) AS rep))", "rk AS (SELECT rd.phase, rd.topic, rep, count(DISTINCT term) AS k FROM rd JOIN kw USING (uid) WHERE k <= 25 GROUP BY 1, 2, 3)") + "SELECT phase, topic, round(avg(k), 6) AS keywords, count(*) AS reps FROM rk GROUP BY 1, 2")
 def _m22b(spark, d):
     """Mean number of different keywords of 25 records."""
     p = X.pub(spark, d)
@@ -186,7 +200,8 @@ def _c22(spark, d):
     return rounded(S.bootstrap_rho(reliable(t), "x", "ln_n"))
 
 
-@query("resample_folds")
+@query("resample_folds", W(TOPICS, "fs AS (SELECT phase, topic, count(*) AS size FROM tp GROUP BY 1, 2)", "ft AS (SELECT phase, topic, row_number() OVER (PARTITION BY phase ORDER BY size, topic) AS r, count(*) OVER (PARTITION BY phase) AS n FROM fs)",
+         "fu AS (SELECT phase, topic, repeat, CASE WHEN r <= n / 3.0 THEN 0 WHEN r <= 2 * n / 3.0 THEN 1 ELSE 2 END AS tercile FROM ft, (SELECT unnest(range(1, 6)) AS repeat))") + "SELECT phase, topic, CAST(repeat AS INT) AS repeat, tercile, CAST(row_number() OVER (PARTITION BY phase, repeat, tercile ORDER BY md5(concat_ws('|', 42, repeat, topic)), topic) % 5 AS INT) AS fold FROM fu")
 def _c26(spark, d):
     """C26, W13."""
     t = I.topics(X.pub(spark, d)).groupBy(*I.KEYS).agg(F.count(F.lit(1)).alias("n"))
