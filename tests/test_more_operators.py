@@ -146,3 +146,20 @@ def test_class_shares_against_null(spark):
     got = S.class_shares_against_null(spark.createDataFrame(rows, ["phase", "topic", *I.INDICATORS]), reps=40).collect()
     assert len(got) == 4 and sum(r.real for r in got) == pytest.approx(1) and sum(r.null_mean for r in got) == pytest.approx(1)
     assert all(0 <= r.p <= 1 and r.low <= r.high and r.reps == 40 and (not r.outside or r.p < 0.3) for r in got)
+
+
+def test_columns_that_do_not_vary_have_no_correlation(spark):
+    from topicweave.operators import kernels as K
+
+    df = spark.createDataFrame([(1, 0.1, float(i), i * 2.0) for i in range(7)] + [(2, 0.5, 1.0, None)], "phase int, flat double, x double, y double")
+    assert [r.rho for r in K.spearman(df, ["phase"], "flat", "x").collect()] == [None, None]
+    assert {r.phase: r.rho for r in K.spearman(df, ["phase"], "x", "y").collect()} == {1: pytest.approx(1.0)}
+    ind = spark.createDataFrame([(1, *([0.3] * 16)), (1, *([0.3] * 16))], ["phase", *I.INDICATORS])
+    assert tuple(S.mean_within(ind, ["phase"]).first()) == (1, None, None)
+
+
+def test_growth_of_a_single_year_is_zero(spark):
+    from topicweave.operators import temporal as P
+
+    df = spark.createDataFrame([(1, 1, 2010, 0.5), (1, 2, 2010, 0.2), (1, 2, 2010, 0.4)], "phase int, topic int, year int, share double")
+    assert {r.topic: r.ols_growth for r in P.linear_growth(df).collect()} == {1: 0.0, 2: 0.0}

@@ -106,12 +106,18 @@ def robust_z(value: str, keys: list[str], eps: float = 1e-9) -> Column:
     return (F.col(value) - q[1]) / F.greatest((q[2] - q[0]) / 2.0, F.lit(eps))
 
 
+def pearson(x: str, y: str) -> Column:
+    """Pearson correlation of two columns without nulls as an aggregate; null if one does not vary (the built-in one fails under ANSI)."""
+    sx, sy = F.stddev_pop(x), F.stddev_pop(y)
+    return F.when((sx > 1e-12) & (sy > 1e-12), F.covar_pop(x, y) / (sx * sy))
+
+
 def spearman(df: DataFrame, keys: list[str], x: str, y: str, least: int = 3, out: str = "rho") -> DataFrame:
     """(keys, n, out): Spearman correlation over rows with both values; null below ``least`` rows or without variation."""
     d = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
     d = avg_rank(avg_rank(d, keys, x, "_rx"), keys, y, "_ry")
-    a = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.corr("_rx", "_ry").alias("r"))
-    return a.select(*keys, "n", F.when((F.col("n") >= least) & ~F.isnan("r"), F.col("r")).alias(out))
+    a = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), pearson("_rx", "_ry").alias("r"))
+    return a.select(*keys, "n", F.when(F.col("n") >= least, F.col("r")).alias(out))
 
 
 def dominant(scores: dict[str, str]) -> Column:

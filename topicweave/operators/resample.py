@@ -120,8 +120,8 @@ def mean_within(ind: DataFrame, keys: list[str]) -> DataFrame:
     """The structure statistic of M18: mean Pearson correlation of indicators of one dimension minus that of different ones."""
     of = {i: d for d, m in I.DIMENSIONS.items() for i in m}
     pairs = [(a, b, of[a] == of[b]) for n, a in enumerate(I.INDICATORS) for b in I.INDICATORS[:n]]
-    one = ind.groupBy(*keys).agg(*[F.nanvl(F.corr(a, b), F.lit(None).cast("double")).alias(f"{a}_{b}") for a, b, _ in pairs])
-    mean = lambda same: F.aggregate(F.array_compact(F.array(*[F.col(f"{a}_{b}") for a, b, s in pairs if s is same])), F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n")), lambda acc, x: F.struct((acc["s"] + x).alias("s"), (acc["n"] + 1).alias("n")), lambda acc: acc["s"] / acc["n"])
+    one = ind.groupBy(*keys).agg(*[K.pearson(a, b).alias(f"{a}_{b}") for a, b, _ in pairs])
+    mean = lambda same: F.aggregate(F.array_compact(F.array(*[F.col(f"{a}_{b}") for a, b, s in pairs if s is same])), F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n")), lambda acc, x: F.struct((acc["s"] + x).alias("s"), (acc["n"] + 1).alias("n")), lambda acc: F.when(acc["n"] > 0, acc["s"] / acc["n"]))
     return one.select(*keys, mean(True).alias("within"), mean(False).alias("between"))
 
 
@@ -225,7 +225,7 @@ def criteria(values: DataFrame, sizes: DataFrame) -> DataFrame:
     rare = pick("rare", "x").groupBy(*by, "topic").agg(F.avg("x").alias("rare")).join(ref, [*by, "topic"])
     null = pick("null", "x").groupBy(*by, "topic").agg(F.avg("x").alias("e0"), F.stddev_samp("x").alias("s0")).join(ref, [*by, "topic"])
     rho = lambda df, x, y, out: K.spearman(df, by, x, y, 3, out).drop("n")
-    r2 = F.when((F.count(F.lit(1)) > 10) & (F.stddev_pop("e0") > 0) & (F.stddev_pop("ref") > 0), F.pow(F.corr("ref", "e0"), 2))
+    r2 = F.when(F.count(F.lit(1)) > 10, F.pow(K.pearson("ref", "e0"), 2))
     k5 = null.groupBy(*by).agg(r2.alias("k5_r2"), F.avg((F.abs((F.col("ref") - F.col("e0")) / F.when(F.col("s0") > 0, F.col("s0"))) > 2).cast("double")).alias("k5_ses"))
     other = ref.select("phase", "topic", F.col("measure").alias("other"), F.col("ref").alias("y"))
     pairs = ref.select(*by, "topic", F.col("ref").alias("x")).join(other, ["phase", "topic"]).filter("measure <> other")

@@ -456,12 +456,12 @@ def _v5(spark, d):
 
 
 _NAMES = [(a, b) for i, a in enumerate(I.INDICATORS) for b in I.INDICATORS[:i]]
-_C120 = [*IND_SQL, "c120 AS (SELECT phase, " + ", ".join(f"corr({a}, {b}) AS {a}_{b}" for a, b in _NAMES) + " FROM ind GROUP BY 1)", "cl AS (SELECT phase, x.a, x.b, CASE WHEN NOT isnan(x.r) THEN x.r END AS r FROM c120, LATERAL (VALUES " + ", ".join(f"('{a}', '{b}', {a}_{b})" for a, b in _NAMES) + ") x(a, b, r))"]
+_C120 = [*IND_SQL, "c120 AS (SELECT phase, " + ", ".join(f"corr({a}, {b}) AS {a}_{b}" for a, b in _NAMES) + " FROM ind GROUP BY 1)", "cl AS (SELECT phase, x.a, x.b, CASE WHEN isfinite(x.r) THEN x.r END AS r FROM c120, LATERAL (VALUES " + ", ".join(f"('{a}', '{b}', {a}_{b})" for a, b in _NAMES) + ") x(a, b, r))"]
 
 
 def _long_correlations(spark, d):
-    one = indicators16(spark, d).groupBy("phase").agg(*[F.corr(a, b).alias(f"{a}_{b}") for a, b in _NAMES])
-    return one.select("phase", F.inline(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.nanvl(F.col(f"{a}_{b}"), F.lit(None).cast("double")).alias("r")) for a, b in _NAMES])))
+    one = indicators16(spark, d).groupBy("phase").agg(*[K.pearson(a, b).alias(f"{a}_{b}") for a, b in _NAMES])
+    return one.select("phase", F.inline(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"{a}_{b}").alias("r")) for a, b in _NAMES])))
 
 
 @query("valid_indicator_correlations", W(*_C120) + "SELECT phase, a, b, round(r, 5) AS r FROM cl")
