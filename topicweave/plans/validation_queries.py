@@ -396,6 +396,15 @@ def _b17_text(spark, d):
     return rounded(a.withColumn("diversity", F.col("kinds") / F.col("total")))
 
 
+@query("cand_eo5_a1_text_diversity")
+def _eo5_text(spark, d):
+    """C9 on the words of title and abstract at the full bounds, 20 records outside the topic and 5 words of a record."""
+    from topicweave.operators.candidates import semantic_diversity
+
+    words = text_words(spark, d).select("uid", *I.KEYS, F.explode(F.array_distinct("words")).alias("term"))
+    return rounded(semantic_diversity(words, X.vectors(spark, d).select("uid", "embedding")))
+
+
 @query("valid_summary", W(TOPICS, RATE) + "SELECT phase, round(avg(r), 6) AS mean, round(stddev_pop(r), 6) AS sd, round(median(r), 6) AS median, count(r) AS valid FROM rate GROUP BY 1")
 def _b18(spark, d):
     r = I.topics(X.pub(spark, d)).filter("year IS NOT NULL").select("phase", I.citation_rate(F.col("times_cited"), F.col("year")).alias("r"))
