@@ -174,8 +174,10 @@ def time_permutation_ses(pub: DataFrame, terms: DataFrame, reps: int = 50, seed:
     docs = I.topics(pub).filter("year IS NOT NULL").select(*I.KEYS, "uid", "year")
     size = docs.groupBy(*I.KEYS).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("year").alias("years"), F.percentile("year", 0.5).alias("m"))
     least = "n >= 4" if mode == "halves" else "years >= 3"
-    docs = docs.join(size.filter(least).select(*I.KEYS), I.KEYS, "left_semi")
-    t = K.counts(I.topics(terms), [*I.KEYS, "uid"], "term")
+    # records are moved once per replicate: by a number, not by their id
+    number = F.xxhash64("uid").alias("uid")
+    docs = docs.join(size.filter(least).select(*I.KEYS), I.KEYS, "left_semi").select(*I.KEYS, number, "year")
+    t = K.counts(I.topics(terms), [*I.KEYS, "uid"], "term").select(*I.KEYS, number, F.xxhash64("term").alias("term"), "n")
     years = permuted_years(docs, reps, seed)
     if mode == "halves":
         half = F.when(F.col("year") <= F.col("m"), "early").otherwise("late")
