@@ -145,7 +145,9 @@ def permuted_years(docs: DataFrame, reps: int, seed: int) -> DataFrame:
     the slices' sizes summed up, so no topic is sorted in one task; the years by rank are a row per record, not per replicate.
     """
     top = 2**53 - 111
-    r = docs.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).withColumn("h", F.pmod(F.xxhash64(F.lit(seed), "rep", "uid"), F.lit(top)))
+    # spread before each row becomes ``reps`` rows; small partitions would be merged into one task otherwise
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    r = docs.repartition(parts, "uid").withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).withColumn("h", F.pmod(F.xxhash64(F.lit(seed), "rep", "uid"), F.lit(top)))
     r = r.withColumn("slice", F.floor(F.col("h") / F.lit(top) * SLICES).cast("int"))
     sizes = r.groupBy(*I.KEYS, "rep", "slice").agg(F.count(F.lit(1)).alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy(*I.KEYS, "rep").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
