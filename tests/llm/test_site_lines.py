@@ -111,3 +111,39 @@ def test_signature_estimates_similarity():
     texts = [S.masked_words(" ".join(x), known) for x in (a, b, list(reversed(a)))]
     sig = S.signatures(*S.shingles(texts))
     assert (sig[0] == sig[1]).mean() > 0.6 and (sig[0] == sig[2]).mean() < 0.3
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_all_similar_kinds_of_a_bucket_are_linked(spark, seed):
+    """Forty families of sets in one bucket, more than it has leaders, some only connected by members: groups as by comparing all pairs."""
+    rnd = random.Random(seed)
+    sets = []
+    for f in range(40):
+        x = set(rnd.sample(range(f * 60, f * 60 + 60), rnd.randint(8, 30))) | set(range(10_000, 10_000 + 4 * (f % 3)))
+        for _ in range(rnd.randint(1, 5)):
+            sets.append(frozenset(x))
+            x = x ^ {rnd.choice(sorted(x)), rnd.randrange(f * 60, f * 60 + 60)}  # each from the last: the ends of a family are unlike
+    sets = {rnd.randrange(-(2**62), 2**62): x for x in dict.fromkeys(sets)}
+    s = object.__new__(S.SiteLines)
+    rows = [(n, 1, n, k, k, [*range(8), 1], sorted(x)) for n, (k, x) in enumerate(sets.items())]
+    s.lines = spark.createDataFrame(rows, "row long, line_no int, record long, node long, kind long, bands array<long>, shingles array<int>")
+    near = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= S.SIMILAR * len(sets[a] | sets[b])]
+    got = {(min(r), max(r)) for r in map(tuple, s.links().collect())}
+    assert got <= set(near)
+
+    def groups(pairs):
+        top = {k: k for k in sets}
+        for _ in sets:
+            for a, b in pairs:
+                top[a] = top[b] = min(top[a], top[b])
+        return top
+
+    assert groups(got) == groups(near) and len(set(groups(near).values())) >= 40
+
+
+def test_a_line_of_two_sources_is_a_group_of_each(spark):
+    rows = [(i, f"u{i}", "Share this page", "First") for i in range(6)] + [(10 + i, f"v{i}", "Share this page", "Second") for i in range(7)]
+    rows += [(20 + i, f"w{i}", "Share this page", "Third") for i in range(4)]
+    s = S.SiteLines(spark.createDataFrame(rows, SCHEMA), "row_id", "uid", "abstract", "source_title")
+    assert sorted((r.source_key, r.records) for r in s.report().collect()) == [("first", 6), ("second", 7)]
+    assert sum(r.removed for r in s.without().collect()) == 13

@@ -18,15 +18,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from topicweave.llm.textform import folded_form
 from topicweave.operators.graph import connected_components, reliable
 
 SHINGLE, BANDS, ROWS, SIMILAR = 5, 8, 4, 0.8
-#: A bucket chooses a leader so many times at most; its members come back over so many salts.
+#: A bucket chooses a leader so many times, then its other pairs are looked up; its members come back over so many salts.
 LEADERS, SALTS = 3, 8
+#: Jaccard distances obey the triangle inequality: a kind less like a leader than this is similar to none of the leader's star.
+NEAR = 2 * SIMILAR - 1 - 1e-6
 #: At least so many different records of one source must have a line.
 MIN_RECORDS = 5
 
@@ -114,7 +116,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         at_row, numbers, at_line, sites = [], [], [], {}
         lines: dict[tuple[str, str], int] = {}  # (site, line) of this batch -> its place among nodes and kinds
-        nodes, kinds, words, first = [], [], [], []
+        nodes, kinds, words, first, of_site = [], [], [], [], []
         seen: set[int] = set()
         records = [None if r is None else digest(r) - 2**63 for r in batch.column(1).to_pylist()]
         for i, (text, source) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
@@ -139,6 +141,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         if first[-1]:
                             seen.add(kind)
                             words.append(w)
+                            of_site.append(digest(site) - 2**63)
                 if at >= 0:
                     at_row.append(i)
                     numbers.append(number)
@@ -146,13 +149,13 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not at_row:
             continue
         h, owner = shingles(words)
-        bands = band_values(signatures(h, owner))
+        bands = np.column_stack([band_values(signatures(h, owner)), np.array(of_site, np.int64)])
         small = (h >> np.uint64(32)).astype(np.uint32).view(np.int32)
         order = np.lexsort((small, owner))
         small, owner = small[order], owner[order]
         fresh = np.concatenate([[True], (small[1:] != small[:-1]) | (owner[1:] != owner[:-1])])
         small, sizes = small[fresh], np.bincount(owner[fresh], minlength=len(words))
-        # the first row of a kind in this batch brings its bands and shingles; kinds are numbered as they come
+        # the first row of a kind in this batch brings its bands, behind them its site, and shingles; kinds are numbered as they come
         at_line = np.array(at_line)
         brings = np.zeros(len(at_line), bool)
         _, firsts = np.unique(at_line, return_index=True)
@@ -161,7 +164,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size[brings] = sizes
         yield pa.RecordBatch.from_arrays([
             batch.column(0).take(pa.array(at_row)), pa.array(numbers, pa.int32()), pa.array(records, pa.int64()).take(pa.array(at_row)),
-            pa.array(np.array(nodes)[at_line]), pa.array(np.array(kinds)[at_line]), _lists(bands.reshape(-1), brings * BANDS, ~brings), _lists(small, size, ~brings),
+            pa.array(np.array(nodes)[at_line]), pa.array(np.array(kinds)[at_line]), _lists(bands.reshape(-1), brings * (BANDS + 1), ~brings), _lists(small, size, ~brings),
         ], ["row", "line_no", "record", "node", "kind", "bands", "shingles"])
 
 
@@ -181,15 +184,16 @@ class SiteLines:
         self.lines = reliable(raw.mapInArrow(_read, schema))
 
     def links(self) -> DataFrame:
-        """(a, b): kinds of one source whose shingles have a Jaccard similarity of at least ``SIMILAR``, as stars.
+        """(a, b): kinds whose shingles have a Jaccard similarity of at least ``SIMILAR``; they connect all such pairs of a bucket.
 
         In each bucket a leader, its least or greatest kind by the bucket's parity, is compared with the others; those unlike it
-        choose a leader again, up to ``LEADERS`` times. A bucket's rows are never brought together: leaders are a partial aggregate
+        choose a leader again, ``LEADERS`` times. A bucket's rows are never brought together: leaders are a partial aggregate
         and come back by a join salted by kind, so a bucket may hold a third of all rows, and copies of a kind meet nobody.
+        Pairs that met no leader together are left to ``_other_pairs``: kinds that stay open, and a star with the kinds ``NEAR`` its leader.
         """
         told = self.lines.filter("bands IS NOT NULL")
-        open_ = told.select("kind", F.posexplode("bands").alias("band", "value")).select("kind", F.xxhash64("value", "band").alias("bucket"))
-        found = sets = None
+        open_ = told.select("kind", F.posexplode(F.slice("bands", 1, BANDS)).alias("band", "value")).select("kind", F.xxhash64("value", "band").alias("bucket"))
+        found = sets = sides = None
         for _ in range(LEADERS):
             heads = open_.groupBy("bucket").agg(F.min("kind").alias("low"), F.max("kind").alias("high")).filter("low <> high")
             head = F.when(F.col("bucket").bitwiseAND(F.lit(1)) == 0, F.col("low")).otherwise(F.col("high"))
@@ -201,23 +205,51 @@ class SiteLines:
                 sets = reliable(told.select("kind", "shingles").join(asked, "kind", "left_semi").dropDuplicates(["kind"]))
             pairs = met.join(sets, "kind").join(sets.select(F.col("kind").alias("head"), F.col("shingles").alias("of_head")), "head")
             common = F.size(F.array_intersect("shingles", "of_head"))
-            pairs = reliable(pairs.select("kind", "head", "bucket", (common >= SIMILAR * (F.size("shingles") + F.size("of_head") - common)).alias("like")))
+            union = F.size("shingles") + F.size("of_head") - common
+            pairs = reliable(pairs.select("kind", "head", "bucket", (common >= SIMILAR * union).alias("like"), (common >= NEAR * union).alias("near")))
+            side = pairs.filter("near").select(F.xxhash64("bucket", "head").alias("group"), "kind", F.col("like").alias("left"), (~F.col("like")).alias("right"))
+            sides = side if sides is None else sides.unionByName(side)
             like, open_ = pairs.filter("like").select("kind", "head"), pairs.filter("NOT like").select("kind", "bucket")
             found = like if found is None else found.unionByName(like)
             if open_.isEmpty():
                 break
-        return found.select(F.col("kind").alias("a"), F.col("head").alias("b")).distinct()
+        sides = sides.unionByName(open_.select(F.xxhash64("bucket").alias("group"), "kind", F.lit(True).alias("left"), F.lit(True).alias("right")))
+        return found.select(F.col("kind").alias("a"), F.col("head").alias("b")).unionByName(self._other_pairs(sides, sets)).distinct()
+
+    @staticmethod
+    def _other_pairs(sides: DataFrame, sets: DataFrame) -> DataFrame:
+        """(a, b): similar kinds of one group, one from its left and one from its right side, exactly.
+
+        Sets of that similarity share a shingle among the first ones of both in any one order; with the rarest first,
+        the kinds of a full bucket that only have common shingles in common do not meet.
+        """
+        full = sides.groupBy("group").agg(F.count_if("left").alias("l"), F.count_if("right").alias("r"), F.count(F.lit(1)).alias("n")).filter("l > 0 AND r > 0 AND n > 1")
+        sides = reliable(sides.join(full.select("group"), "group"))
+        told = sets.join(sides.select("kind").distinct(), "kind", "left_semi").select("kind", F.size("shingles").alias("size"), F.explode("shingles").alias("shingle"))
+        often = told.groupBy("shingle").agg(F.count(F.lit(1)).alias("often"))
+        told = told.join(often, "shingle").withColumn("rank", F.row_number().over(Window.partitionBy("kind").orderBy("often", "shingle")))
+        told = reliable(told.filter(F.col("rank") <= F.col("size") - F.ceil(SIMILAR * F.col("size") - 1e-6) + 1).select("kind", "size", "shingle"))
+        left = sides.filter("left").select("group", "kind").join(told, "kind").select("group", "shingle", F.col("kind").alias("a"), F.col("size").alias("m"))
+        right = sides.filter("right").select("group", "kind").join(told, "kind").select("group", "shingle", F.col("kind").alias("b"), F.col("size").alias("n"))
+        met = left.join(right, ["group", "shingle"]).filter(F.col("a") != F.col("b")).filter(F.least("m", "n") >= SIMILAR * F.greatest("m", "n") - 1e-6)
+        met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        of = lambda k: sets.select(F.col("kind").alias(k), F.col("shingles").alias(f"of_{k}"))
+        common = F.size(F.array_intersect("of_a", "of_b"))
+        alike = common >= SIMILAR * (F.size("of_a") + F.size("of_b") - common)
+        return met.join(of("a"), "a").join(of("b"), "b").filter(alike).select("a", "b")
 
     def clusters(self) -> DataFrame:
         """(row, line_no, record, node, cluster): every line with its near-duplicate group.
 
         Kinds are linked by similarity, and by lines with the same letters. Only kinds that have a link are labelled by components;
-        each other is its own group.
+        each other is its own group. What several sources write alike is a group of each of them.
         """
         spelled = self.lines.groupBy("node").agg(F.min("kind").alias("a"), F.max("kind").alias("z")).filter("a <> z").select("node", "a")
         spelled = self.lines.select("node", "kind").join(spelled, "node").filter("a <> kind").select("a", F.col("kind").alias("b"))
-        member = connected_components(self.links().unionByName(spelled), "a", "b")
-        lines = self.lines.select("row", "line_no", "record", "node", "kind").join(member.withColumnRenamed("node", "kind"), "kind", "left")
+        member = connected_components(self.links().unionByName(spelled), "a", "b").withColumnRenamed("node", "kind")
+        site = self.lines.filter("bands IS NOT NULL").select("kind", F.element_at("bands", BANDS + 1).alias("site")).distinct()
+        member = member.join(site, "kind").select("kind", F.xxhash64("site", "component").alias("component"))
+        lines = self.lines.select("row", "line_no", "record", "node", "kind").join(member, "kind", "left")
         return lines.select("row", "line_no", "record", "node", F.coalesce("component", "kind").alias("cluster"))
 
     def used(self, lines: DataFrame, group: str) -> DataFrame:
