@@ -64,7 +64,11 @@ def semantic_incoherence(vectors: DataFrame) -> DataFrame:
 
 def yearly_shares(pub: DataFrame) -> DataFrame:
     """B1 base: (phase, topic, year, n, share) over a dense year spine, shares of the topics' records of a year (noise out)."""
-    c = topics(pub).filter("year IS NOT NULL").groupBy(*KEYS, "year").agg(F.count(F.lit(1)).alias("n"))
+    return shares_of_years(topics(pub).filter("year IS NOT NULL").groupBy(*KEYS, "year").agg(F.count(F.lit(1)).alias("n")))
+
+
+def shares_of_years(c: DataFrame) -> DataFrame:
+    """The yearly shares from counts of records (phase, topic, year, n)."""
     total = c.groupBy("phase", "year").agg(F.sum("n").alias("total"))
     spine = c.select(*KEYS).distinct().join(total, "phase")
     return spine.join(c, [*KEYS, "year"], "left").select(*KEYS, "year", F.coalesce("n", F.lit(0)).alias("n"), (F.coalesce("n", F.lit(0)) / F.col("total")).alias("share"))
@@ -101,12 +105,23 @@ def noise_ratio(vectors: DataFrame) -> DataFrame:
 
 
 def nearest_to_centroids(vectors: DataFrame, how_many) -> DataFrame:
-    """(phase, topic, n, noise): the share of noise among the ``how_many(n, corpus)`` records nearest to the topic's centroid.
+    """(phase, topic, n, noise): the share of noise among the ``how_many(n, corpus)`` records nearest to the topic's centroid."""
+    near = nearest_levels(vectors.withColumn("level", (F.col("topic") < 0).cast("int")), how_many)
+    return near.groupBy(*KEYS, "n").agg((F.sum(F.col("level") * F.col("near")) / F.sum("near")).alias("noise"))
+
+
+#: So many topics' distances are held at once.
+TOPIC_BLOCK = 128
+
+
+def nearest_levels(vectors: DataFrame, how_many) -> DataFrame:
+    """(phase, topic, n, level, near): how many of the ``how_many(n, corpus)`` records nearest to the topic's centroid have each ``level``.
 
     Records meet centroids in the task that reads them, so distances, as many as records times topics, are never moved. A first
-    pass sends counts by cell of distance, from which the cell that holds the k-th nearest is known; a second one sends the
-    counts of nearer cells and, of that cell alone, the rows, which are ranked by distance and ``uid``. Centroids and cells
-    are a row per topic, at most ``MAX_TOPICS``.
+    pass sends counts by cell of distance, from which the cell that holds the k-th nearest is known; of a batch, cells behind
+    its own k-th nearest cannot be that cell and are left out. A second pass sends the counts of nearer cells and, of that cell
+    alone, the rows, which are ranked by distance and ``uid``. Products of matrices say which records can be that near; only
+    their distances are computed. Centroids and cells are a row per topic, at most ``MAX_TOPICS``.
     """
     per = topics(vectors).select(*KEYS, F.posexplode("embedding").alias("dim", "x")).groupBy(*KEYS, "dim").agg(F.avg(F.col("x").cast("double")).alias("m"), F.count(F.lit(1)).alias("n"))
     cent = per.groupBy(*KEYS).agg(F.transform(F.sort_array(F.collect_list(F.struct("dim", "m"))), lambda s: s["m"]).alias("centroid"), F.max("n").alias("n"))
@@ -114,25 +129,53 @@ def nearest_to_centroids(vectors: DataFrame, how_many) -> DataFrame:
     rows = cent.join(total, "phase").withColumn("k", how_many(F.col("n"), F.col("corpus"))).limit(MAX_TOPICS + 1).collect()
     if len(rows) > MAX_TOPICS:
         raise ValueError(f"more than {MAX_TOPICS} topics")
-    by_phase: dict[int, list] = {}
+    by_phase: dict[int, tuple] = {}
     for r in rows:
-        by_phase.setdefault(r.phase, []).append((r.topic, np.array(r.centroid)))
+        by_phase.setdefault(r.phase, []).append((r.topic, r.k, r.centroid))
+    by_phase = {p: (np.array([t for t, _, _ in x]), np.array([k for _, k, _ in x]), np.array([c for _, _, c in x])) for p, x in by_phase.items()}
     spark = vectors.sparkSession
     sizes = spark.createDataFrame([(r.phase, r.topic, r.n, r.k) for r in rows], "phase int, topic int, n long, k long")
-    used = vectors.select("phase", "uid", "topic", "embedding")
+    used = vectors.select("phase", "uid", "level", "embedding")
 
-    def distances(pdf: pd.DataFrame) -> Iterator[tuple]:
+    def squares(pdf: pd.DataFrame) -> Iterator[tuple]:
+        """(phase, rows, topic, k, squared distances about, their error, exact distances of chosen rows)."""
         for phase, rows in pdf.groupby("phase"):
+            if phase not in by_phase:
+                continue
+            of, ks, cents = by_phase[phase]
             x = np.stack(rows["embedding"].to_numpy()).astype(float)
-            for topic, c in by_phase.get(phase, ()):
-                d = np.round(np.sqrt(((x - c) ** 2).sum(axis=1)), 9)
-                yield phase, topic, rows, d, np.floor(d * CELLS).astype(np.int64)
+            xx = (x**2).sum(axis=1)
+            for b in range(0, len(of), TOPIC_BLOCK):
+                c = cents[b : b + TOPIC_BLOCK]
+                cc = (c**2).sum(axis=1)
+                about = cc[:, None] + xx[None, :] - 2.0 * (c @ x.T)
+                error = 1e-9 * (1.0 + xx.max() + cc.max())
+                for i in range(len(c)):
+                    yield phase, rows, of[b + i], ks[b + i], about[i], error, lambda at, c=c[i], x=x: np.round(np.sqrt(((x[at] - c) ** 2).sum(axis=1)), 9)
+
+    def frame(phase, parts: list[tuple], names: list[str]) -> pd.DataFrame:
+        return pd.DataFrame({"phase": np.int32(phase), **{n: np.concatenate(x) for n, x in zip(names, zip(*parts, strict=True), strict=True)}})
+
+    def in_frames(rows: Iterator[tuple], names: list[str]) -> Iterator[pd.DataFrame]:
+        held, many, last = [], 0, None
+        for phase, *part in rows:
+            if held and (phase != last or many > 200_000):
+                yield frame(last, held, names)
+                held, many = [], 0
+            last, many = phase, many + len(part[0])
+            held.append(part)
+        if held:
+            yield frame(last, held, names)
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+        for pdf in batches:
+            for phase, _, topic, k, about, error, exact in squares(pdf):
+                at = np.flatnonzero(about <= np.partition(about, k - 1)[k - 1] + error) if k < len(about) else np.arange(len(about))
+                cells, c = np.unique(np.floor(exact(at) * CELLS).astype(np.int64), return_counts=True)
+                yield phase, np.full(len(cells), topic, np.int32), cells, c
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for phase, topic, _, _, cell in distances(pdf):
-                cells, c = np.unique(cell, return_counts=True)
-                yield pd.DataFrame({"phase": np.int32(phase), "topic": np.int32(topic), "cell": cells, "c": c})
+        yield from in_frames(counted(batches), ["topic", "cell", "c"])
 
     cells = used.mapInPandas(count, "phase int, topic int, cell long, c long").groupBy(*KEYS, "cell").agg(F.sum("c").alias("c"))
     upto = F.sum("c").over(Window.partitionBy(*KEYS).orderBy("cell").rowsBetween(Window.unboundedPreceding, 0))
@@ -140,26 +183,31 @@ def nearest_to_centroids(vectors: DataFrame, how_many) -> DataFrame:
     edges = cells.filter("upto >= k AND upto - c < k").select(*KEYS, "cell", (F.col("k") - F.col("upto") + F.col("c")).alias("missing")).collect()
     edge = {(r.phase, r.topic): r.cell for r in edges}
 
-    def take(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def taken(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         for pdf in batches:
-            for phase, topic, rows, d, cell in distances(pdf):
+            for phase, rows, topic, _, about, error, exact in squares(pdf):
                 last = edge.get((phase, topic))
                 if last is None:
                     continue
-                sure, own = cell < last, rows["topic"].to_numpy() < 0
-                at = np.flatnonzero(cell == last)
-                one = {"phase": np.int32(phase), "topic": np.int32(topic)}
-                if sure.any():
-                    yield pd.DataFrame({**one, "n": [int(sure.sum())], "noise": [int(own[sure].sum())], "d": [None], "uid": [None]}).astype({"d": "float64"})
-                if len(at):
-                    yield pd.DataFrame({**one, "n": 1, "noise": own[at].astype(int), "d": d[at], "uid": rows["uid"].to_numpy()[at]})
-
-    kept = used.mapInPandas(take, "phase int, topic int, n long, noise long, d double, uid string")
+                at = np.flatnonzero(about <= ((last + 1) / CELLS + 1e-8) ** 2 + error)
+                d = exact(at)
+                cell = np.floor(d * CELLS).astype(np.int64)
+                level = rows["level"].to_numpy()[at]
+                sure, n = np.unique(level[cell < last], return_counts=True)
+                here = cell == last
+                m, e = len(sure), int(here.sum())
+                if m + e:
+                    uid = np.concatenate([np.full(m, None, object), rows["uid"].to_numpy()[at[here]]])
+                    yield phase, np.full(m + e, topic, np.int32), np.concatenate([n, np.ones(e, np.int64)]), np.concatenate([sure, level[here]]), np.concatenate([np.full(m, np.nan), d[here]]), uid
+
+    def take(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from in_frames(taken(batches), ["topic", "near", "level", "d", "uid"])
+
+    kept = used.mapInPandas(take, "phase int, topic int, near long, level int, d double, uid string")
     missing = spark.createDataFrame([(r.phase, r.topic, r.missing) for r in edges], "phase int, topic int, missing long")
     ranked = kept.filter("uid IS NOT NULL").join(missing, KEYS).withColumn("r", F.row_number().over(Window.partitionBy(*KEYS).orderBy("d", "uid"))).filter("r <= missing")
-    near = kept.filter("uid IS NULL").select(*KEYS, "n", "noise").unionByName(ranked.select(*KEYS, "n", "noise"))
-    share = near.groupBy(*KEYS).agg((F.sum("noise") / F.sum("n")).alias("noise"))
-    return sizes.select(*KEYS, "n").join(share, KEYS)
+    near = kept.filter("uid IS NULL").select(*KEYS, "level", "near").unionByName(ranked.select(*KEYS, "level", "near"))
+    return sizes.select(*KEYS, "n").join(near.groupBy(*KEYS, "level").agg(F.sum("near").alias("near")), KEYS)
 
 
 def journal_specificity(pub: DataFrame) -> DataFrame:
@@ -197,10 +245,19 @@ def is_review(doc_type: Column) -> Column:
 
 def review_absence(pub: DataFrame, alpha: float | Column = 5.0, prior: float | None = None) -> DataFrame:
     """A9 DS3: 1 - (r + 2αm) / (n + 2α) over records with a type, m the share of reviews of all topics of the phase or ``prior``."""
-    alpha = F.lit(alpha) if not isinstance(alpha, Column) else alpha
+    return absence_of_reviews(review_counts(pub), alpha, prior)
+
+
+def review_counts(pub: DataFrame) -> DataFrame:
+    """(phase, topic, r, n): reviews among the records with a type."""
     p = topics(pub).withColumn("r", F.when(F.col("doc_type").isNotNull(), is_review(F.col("doc_type")).cast("double")))
-    m = p.groupBy("phase").agg(F.avg("r").alias("m"))
-    a = p.groupBy(*KEYS).agg(F.coalesce(F.sum("r"), F.lit(0.0)).alias("r"), F.count("r").alias("n")).join(m, "phase")
+    return p.groupBy(*KEYS).agg(F.coalesce(F.sum("r"), F.lit(0.0)).alias("r"), F.count("r").alias("n"))
+
+
+def absence_of_reviews(a: DataFrame, alpha: float | Column = 5.0, prior: float | None = None) -> DataFrame:
+    """The absence of reviews from their counts."""
+    alpha = F.lit(alpha) if not isinstance(alpha, Column) else alpha
+    a = a.join(a.groupBy("phase").agg(F.when(F.sum("n") > 0, F.sum("r") / F.sum("n")).alias("m")), "phase")
     m0 = F.lit(float(prior)) if prior is not None else F.coalesce("m", F.lit(0.5))
     return a.select(*KEYS, (1.0 - (F.col("r") + 2.0 * alpha * m0) / (F.col("n") + 2.0 * alpha)).alias("ds3"))
 

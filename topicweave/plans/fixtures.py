@@ -54,12 +54,12 @@ def terms_sql(kind: str) -> str:
     return f"{kind} AS (SELECT uid, phase, topic, year, {t} AS term FROM (SELECT uid, phase, topic, year, unnest(string_split_regex({column}, '{sep}')) AS x FROM pub) WHERE trim(x) <> '')"
 
 
-def vectors(spark: SparkSession, d: str, p: DataFrame | None = None) -> DataFrame:
-    """(uid, phase, topic, year, embedding) of every publication."""
+def vectors(spark: SparkSession, d: str, p: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(uid, phase, topic, year, embedding, size, keep…) of every publication."""
     e = table(spark, d, "embeddings")
     n = e.count()
     p = pub(spark, d) if p is None else p
-    return p.withColumn("vec_id", F.pmod("row_id", F.lit(n))).join(e.select("vec_id", "embedding"), "vec_id").select("uid", "phase", "topic", "year", "embedding", F.col("size") if "size" in p.columns else F.length("abstract").alias("size"))
+    return p.withColumn("vec_id", F.pmod("row_id", F.lit(n))).join(e.select("vec_id", "embedding"), "vec_id").select("uid", "phase", "topic", "year", "embedding", F.col("size") if "size" in p.columns else F.length("abstract").alias("size"), *keep)
 
 
 VEC = "vec AS (SELECT uid, phase, topic, year, embedding, length(abstract) AS size FROM pub JOIN embeddings ON vec_id = row_id % (SELECT count(*) FROM embeddings))"

@@ -37,22 +37,51 @@ def _m21(spark, d):
 def _m11(spark, d):
     """Topics of the macro, meso and micro labels, each with five smallest sizes below which a topic is noise: topics, share of noise,
     shares of the classes and mean margin of the fifteen cells. The labels are given; they stand for a clustering anew."""
-    p = X.pub(spark, d)
     number = lambda c: F.coalesce(F.nullif(F.regexp_extract(c, r"^([0-9.]+) ", 1), F.lit("")), F.lit("-1"))
-    cells = [(i * 5 + j, level, least) for i, level in enumerate(("ct_macro", "ct_meso", "ct_micro")) for j, least in enumerate((4, 8, 12, 16, 25))]
-    cell = F.explode(F.array(*[F.struct(F.lit(k).alias("cell"), F.lit(level).alias("level"), number(level).alias("label"), F.lit(least).alias("least")) for k, level, least in cells]))
-    p = p.withColumn("_c", cell).select("*", "_c.*").drop("_c")
-    sizes = p.filter("label <> '-1'").groupBy("cell", "least", "phase", "label").agg(F.count(F.lit(1)).alias("n")).filter("n >= least").select("cell", "phase", "label", F.lit(True).alias("kept"))
-    p = p.join(sizes, ["cell", "phase", "label"], "left")
-    topic = F.when(F.col("kept"), F.pmod(F.xxhash64("label"), F.lit(2**31 - 1)).cast("int")).otherwise(-1)
-    p = reliable(p.withColumn("topic", topic).withColumn("of", F.col("phase")).withColumn("phase", (F.col("cell") * 10 + F.col("phase")).cast("int")).drop("kept"))
-    about = p.groupBy("phase").agg(F.first("of").alias("of"), F.first("level").alias("level"), F.first("least").alias("least"), F.avg((F.col("topic") < 0).cast("double")).alias("noise"))
-    m = _classes(spark, d, p.drop("of", "level", "least", "label", "cell"))
+    labels = F.explode(F.array(*[F.struct(F.lit(i).alias("level"), number(c).alias("label")) for i, c in enumerate(LEVELS)]))
+    p = X.pub(spark, d).withColumn("_c", labels).select("uid", "row_id", "phase", "year", "doc_type", "source_title", "times_cited", *[c for c, _, _ in X.LISTS.values()], F.length("abstract").alias("size"), "_c.*")
+    sizes = p.filter("label <> '-1'").groupBy("level", "phase", "label").agg(F.count(F.lit(1)).alias("n"))
+    p = p.join(sizes, ["level", "phase", "label"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    topic = F.when(F.col("n") >= LEAST[0], F.pmod(F.xxhash64("label"), F.lit(2**31 - 1)).cast("int")).otherwise(-1)
+    p = reliable(p.select(*[c for c in p.columns if c not in ("phase", "level", "label")], topic.alias("topic"), (F.col("level") * 10 + F.col("phase")).cast("int").alias("phase"), F.col("phase").alias("of"), F.col("level").alias("labels")))
+    cells = F.posexplode(F.array(*[F.lit(x) for x in LEAST])).alias("cell", "least")
+    about = p.groupBy("phase", F.col("labels").alias("level"), "of", "n").agg(F.count(F.lit(1)).alias("records")).select("*", cells)
+    about = about.groupBy("phase", "level", "of", "cell", "least").agg((F.sum(F.when(F.col("n") < F.col("least"), F.col("records")).otherwise(0)) / F.sum("records")).alias("noise"))
+    own, new = reliable(_of_cells(spark, d, p)), (F.col("phase") * 10 + F.col("cell"))
+    m = I.memberships(I.dimension_scores(own))
     share = lambda c: F.avg((F.col("dominant") == c).cast("double")).alias(c)
     a = m.groupBy("phase").agg(F.count(F.lit(1)).alias("topics"), *[share(c) for c in ("ws", "trend", "ec", "latent")], F.avg("margin").alias("margin"))
+    level = F.element_at(F.array(*[F.lit(c) for c in LEVELS]), F.col("level") + 1)
+    about = about.select(new.alias("phase"), F.col("of"), level.alias("level"), "least", "noise")
     return rounded(about.join(a, "phase", "left").drop("phase").withColumnRenamed("of", "phase"))
 
 
+LEVELS, LEAST = ("ct_macro", "ct_meso", "ct_micro"), (4, 8, 12, 16, 25)
+
+
+def _of_cells(spark, d, p):
+    """The indicators of the cells, a phase (phase of ``p`` * 10 + cell) for each smallest size; ``p`` has the topics of the least one.
+
+    A topic's records are the same in each cell that has it, so its own indicators, its centroid and what is nearest to it are computed
+    once. What the other topics of a cell decide comes from counts: shares by year, the share of reviews, which records are noise.
+    """
+    sizes = I.topics(p).groupBy(*I.KEYS).agg(F.max("n").alias("records"))
+    cells = F.posexplode(F.array(*[F.lit(x) for x in LEAST])).alias("cell", "least")
+    kept = reliable(sizes.select(*I.KEYS, "records", cells).filter("records >= least").select(*I.KEYS, "cell"))
+    spread = lambda t: t.join(kept, I.KEYS).select((F.col("phase") * 10 + F.col("cell")).alias("phase"), *[c for c in t.columns if c != "phase"])
+    years = I.topics(p).filter("year IS NOT NULL").groupBy(*I.KEYS, "year").agg(F.count(F.lit(1)).alias("n"))
+    tem = reliable(I.tem_metrics(I.shares_of_years(spread(years))))
+    # in so many of the cells a record is noise: the first of them have the smaller sizes
+    level = sum((F.col("n") < x).cast("int") for x in LEAST)
+    near = I.nearest_levels(X.vectors(spark, d, p.withColumn("level", level), ("level",)), lambda n, corpus: F.least(2 * n, corpus))
+    near = near.join(kept, I.KEYS).groupBy((F.col("phase") * 10 + F.col("cell")).alias("phase"), "topic", F.col("n").alias("of"))
+    noise = near.agg((F.sum(F.when(F.col("level") >= len(LEAST) - F.col("cell"), F.col("near")).otherwise(0)) / F.sum("near")).alias("noise"))
+    noise = noise.select(*I.KEYS, F.when(F.col("of") < 3, F.lit(0.5)).otherwise(F.col("noise")).alias("pe2"))
+    of = {"pe1": lambda: I.relative_proportion(tem), "pe2": lambda: noise, "ds3": lambda: I.absence_of_reviews(spread(I.review_counts(p))), "ip1": lambda: I.growth_rate(tem)}
+    parts = Parts(spark, d, pub=p)
+    return I.all_indicators([of[n]() if n in of else spread(parts.make(n)) for n in I.INDICATORS])
+
+
 _RANK = lambda x: f"rank() OVER (PARTITION BY indicator, phase ORDER BY {x}) + (count(*) OVER (PARTITION BY indicator, phase, {x}) - 1) / 2.0"
 
 
