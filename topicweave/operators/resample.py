@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from topicweave.operators import indicators as I
 from topicweave.operators import kernels as K
+from topicweave.operators.permuted_texts import phrase_time_distances
 
 MEMBERSHIPS = ["m_ws", "m_trend", "m_ec", "m_latent"]
 
@@ -197,6 +198,13 @@ def time_permutation_ses(pub: DataFrame, terms: DataFrame, reps: int = 50, seed:
     return _ses(d, out)
 
 
+def phrase_permutation_ses(pub: DataFrame, texts: DataFrame, stop: list[str], reps: int = 50, seed: int = 42, out: str = "ds2_a2") -> DataFrame:
+    """As ``time_permutation_ses`` in mode 'years' with the phrases of whole texts, of which there are too many to be counted row by row
+    in every replicate. ``pub`` has (phase, topic, uid, row, year), ``texts`` (phase, topic, row, text), marked texts of rows that may be more."""
+    docs = I.topics(pub).select(*I.KEYS, F.xxhash64("uid").alias("uid"), "row", "year")
+    return _ses(phrase_time_distances(docs, I.topics(texts), stop, reps, seed), out)
+
+
 def class_shares_against_null(ind: DataFrame, reps: int = 1000, seed: int = 42, blocks: dict[str, list[str]] | None = None) -> DataFrame:
     """(phase, dominant, real, null_mean, low, high, p, outside, reps): shares of the classes against permuted indicators, the
     two-sided p-value being the part of replicates at least as far from their mean, low and high their 2.5 and 97.5 percentiles."""

@@ -20,10 +20,14 @@ def newest(df: DataFrame, key: str, order: list) -> DataFrame:
     return df.withColumn("_k", F.row_number().over(w)).filter("_k = 1").drop("_k")
 
 
+def topic_of(p: DataFrame) -> DataFrame:
+    topic = F.coalesce(F.nullif(F.regexp_extract("ct_macro", r"^([0-9]+) ", 1), F.lit("")), F.lit("-1")).cast("int")
+    return p.withColumn("topic", topic)
+
+
 def pub(spark: SparkSession, d: str) -> DataFrame:
     p = newest(table(spark, d, "publications"), "uid", [F.desc("loaded_at"), F.desc("row_id")])
-    topic = F.coalesce(F.nullif(F.regexp_extract("ct_macro", r"^([0-9]+) ", 1), F.lit("")), F.lit("-1")).cast("int")
-    return p.withColumn("topic", topic).withColumn("year", F.col("pub_year"))
+    return topic_of(p).withColumn("year", F.col("pub_year"))
 
 
 PUB = """pub AS (SELECT * EXCLUDE (k), CAST(coalesce(nullif(regexp_extract(ct_macro, '^([0-9]+) ', 1), ''), '-1') AS INT) AS topic, pub_year AS year

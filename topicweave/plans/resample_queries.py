@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import functions as F
 
+from topicweave.functions import text as T
 from topicweave.operators import cluster as L
 from topicweave.operators import indicators as I
 from topicweave.operators import kernels as K
@@ -120,10 +121,12 @@ def _c13y(spark, d):
 @query("resample_time_permutation_phrases")
 def _c13p(spark, d):
     """DS2_A2, from the phrases of title and abstract."""
-    from topicweave.plans.prepare_queries import phrases_of
+    from topicweave.plans.prepare_queries import STOP
 
-    p = X.pub(spark, d)
-    return rounded(S.time_permutation_ses(p, phrases_of(p.select("uid", *I.KEYS, "year", "title", "abstract")), mode="years", out="ds2_a2"))
+    p = X.pub(spark, d).withColumn("row", F.col("row_id"))
+    # the texts of all deliveries, under the topic each has itself: they are moved once, and the newest picked where they meet the records
+    texts = X.topic_of(X.table(spark, d, "publications")).select(*I.KEYS, F.col("row_id").alias("row"), T.marked(F.concat_ws(" | ", "title", "abstract")).alias("text"))
+    return rounded(S.phrase_permutation_ses(p, texts, STOP))
 
 
 @query("resample_class_shares")
